@@ -69,10 +69,24 @@ def mad(sorted_values: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """printf("%.Nf") text: exact binary value, ties to even, no grouping."""
-    pattern = "0." + "0" * digits if digits else "0"
-    text = F.call_function("format_number", x.cast("double"), F.lit(pattern))
+    """printf("%.Nf") text: rounds the exact binary value, ties to even, without grouping.
+
+    Java's formatters round the shortest decimal that names the value, which differs for numbers
+    like 0.0025. Here the distance to the tie between two candidates is computed without error:
+    a double splits into a single precision part and a rest, and both products are exact.
+    """
+    x = x.cast("double")
+    scale = 10 ** digits
+    size = F.abs(x)
+    low = F.floor(size * scale)
+    part = size.cast("float").cast("double")
+    beyond_tie = (part * (2 * scale) - (2 * low + 1)) + (size - part) * (2 * scale)
+    n = low + F.when((beyond_tie > 0) | ((beyond_tie == 0) & (low % 2 == 1)), 1).otherwise(0)
+    rest = n % scale
+    text = ((n - rest) / scale).cast("long").cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
     return (F.when(F.isnan(x), F.lit("nan"))
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))
-            .otherwise(text))
+            .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text)))

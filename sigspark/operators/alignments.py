@@ -110,9 +110,9 @@ def join_reads(alignments: DataFrame, reads: DataFrame) -> DataFrame:
 def join_signals(rows: DataFrame, signals: DataFrame, skip_unreadable: bool = True) -> DataFrame:
     """Join the raw signals of the surviving reads.
 
-    The signals are by far the largest input. Only read ids that are still needed are kept before
-    the shuffle (semi join), and tables bucketed by read_id join without one. With
-    ``skip_unreadable`` off a read without signal fails the job.
+    The signals are by far the largest input; this inner join lets Spark push a runtime filter of
+    the wanted read ids below their shuffle. With ``skip_unreadable`` off a read without signal
+    fails the job.
     """
     if skip_unreadable:
         return rows.join(signals, "read_id").where(F.size("raw") > 0)

@@ -24,7 +24,7 @@ def split_group_calls(calls: DataFrame) -> DataFrame:
     hits = F.filter(F.sequence(F.lit(1), F.greatest(F.length("sequence"), F.lit(1))),
                     lambda i: F.substring(F.col("sequence"), i, F.lit(2)) == "CG")
     multi = F.col("num_cpgs") > 1
-    offsets = F.when(multi, F.transform(hits, lambda i: i - F.array_min(hits))) \
+    offsets = F.when(multi, F.transform(hits, lambda i: i - F.instr(F.col("sequence"), "CG"))) \
         .otherwise(F.array(F.lit(0)))
     return (calls.withColumn("_offset", F.explode(offsets))
             .withColumn("start", F.col("start") + F.col("_offset"))

@@ -24,5 +24,6 @@ class Options:
     collapse: bool = False
     call_threshold: float = 2.5
     split_groups: bool = False
+    colocated: bool = False                 # inputs are bucketed by read_id already
     reference_tile: int = 1 << 16
     max_broadcast_bytes: int = 64 << 20

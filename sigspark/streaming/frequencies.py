@@ -21,10 +21,11 @@ def call_stream(spark: SparkSession, directory: str, version: int = 2, files_per
     schema = ", ".join(f"`{c}` {tsv.CALL_TYPES.get(c, 'string')}" for c in columns)
     rows = (spark.readStream.schema(schema).option("header", True).option("sep", "\t")
             .option("maxFilesPerTrigger", files_per_trigger).csv(directory))
-    # min over the file name and the place in it stands for the order of arrival
+    # Files in order of arrival and the read name inside one stand for the input order; a stream
+    # has no row numbers.
     return rows.withColumn("line_no", F.struct(
         F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"),
-        F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+        F.col("_metadata.file_block_start"), F.col("read_name")))
 
 
 def running_frequency(calls: DataFrame, threshold: float = 2.5, split_groups: bool = False) -> DataFrame:
