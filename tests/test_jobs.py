@@ -213,3 +213,76 @@ def test_batches_and_partitions_do_not_matter(spark, data):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_signals_move_once(spark, data):
+    reads, alignments, signals, reference, _ = data
+    spark.catalog.clearCache()      # a cached plan would be shown with its own exchanges
+    calls = jobs.call_methylation(reads, alignments, signals, reference, PLAIN, MARKED)
+    text = calls._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(read_id") == text.count("Exchange hashpartitioning") == 3
+    assert text.index("MapInArrow") < text.index("Exchange hashpartitioning")     # every stage sits above them
+    bucketed = jobs.call_methylation(reads, alignments, signals, reference, PLAIN, MARKED, Options(colocated=True))
+    assert "REPARTITION" not in bucketed._jdf.queryExecution().executedPlan().toString()
+
+
+def write_inputs(spark, data, folder):
+    from sigspark.sources import slow5
+    reads, alignments, signals, _, _ = data
+    (folder / "reads.fa").write_text("".join(f">{r.read_id} x\n{r.seq}\n" for r in reads.collect()))
+    (folder / "genome.fa").write_text(f">chr\n{GENOME[:700]}\n{GENOME[700:]}\n")
+    sam = ["@SQ\tSN:chr\tLN:1600"] + [
+        f"{r.read_id}\t{r.flag}\t{r.contig}\t{r.pos + 1}\t{r.mapq}\t{r.cigar}\t*\t0\t0\t*\t*\tNM:i:{r.nm}"
+        for r in alignments.orderBy("aln_id").collect()]
+    (folder / "aln.sam").write_text("\n".join(sam) + "\n")
+    records = signals.select("read_id", F.lit(0).alias("read_group"), "digitisation", "offset", "range", "sampling_rate",
+                             F.size("raw").cast("long").alias("len_raw_signal"), F.col("raw").alias("raw_signal"))
+    slow5.write_blow5(records, str(folder / "blow5"))
+    for name, model in (("dna", PLAIN), ("cpg", MARKED)):
+        letters = np.array(list(model.letters))
+        digits = np.arange(len(model.level_mean))[:, None] // len(letters) ** np.arange(5, -1, -1) % len(letters)
+        lines = ["".join(letters[d]) + f"\t{m:.9g}\t{s:.9g}\t0\t0\t0" for d, m, s in zip(digits, model.level_mean, model.level_stdv)]
+        (folder / f"{name}.model").write_text("#k\t6\n" + "\n".join(lines) + "\n")
+
+
+def lines_of(path):
+    out = []
+    for part in sorted(p for p in path.iterdir() if p.name.startswith("part-")):
+        out += part.read_text().splitlines()
+    return out
+
+
+def test_command_line(spark, data, tmp_path):
+    from sigspark.__main__ import parser, run
+    write_inputs(spark, data, tmp_path)
+    at = lambda name: str(tmp_path / name)
+    common = ["--reads", at("reads.fa"), "--alignments", at("aln.sam"), "--signals", at("blow5"), "--genome", at("genome.fa"),
+              "--kmer-model", at("dna.model")]
+    go = lambda *a: run(parser().parse_args(list(a)))
+    go("call-methylation", *common, "--meth-model", at("cpg.model"), "-o", at("calls"))
+    calls = [x.split("\t") for x in lines_of(tmp_path / "calls") if not x.startswith("chromosome")]
+    reads, alignments, signals, reference, _ = data
+    direct = jobs.call_methylation(reads, alignments, signals, reference, PLAIN, MARKED)
+    known = {r[0] for r in direct.select(tsv.call_lines(2)).collect()}
+    assert {"\t".join(c) for c in calls} == known
+    go("meth-freq", "--input", at("calls"), "-o", at("freq"))
+    freq = lines_of(tmp_path / "freq")
+    assert freq[0].split("\t") == tsv.FREQUENCY_COLUMNS and len(freq) > 10
+    go("freq-merge", at("freq"), at("freq"), "-o", at("twice"))
+    once, twice = ([x.split("\t") for x in lines_of(tmp_path / n) if not x.startswith("chromosome")] for n in ("freq", "twice"))
+    assert [2 * int(x[4]) for x in once] == [int(x[4]) for x in twice] and [x[6] for x in once] == [x[6] for x in twice]
+    go("eventalign", *common, "--signal-index", "--summary", at("summary"), "-o", at("events"))
+    events = [x.split("\t") for x in lines_of(tmp_path / "events")]
+    assert events[0] == tsv.eventalign_columns(signal_index=True) and all(len(e) == 15 for e in events)
+    summary = [x for x in lines_of(tmp_path / "summary") if not x.startswith("read_index")]
+    assert len(summary) == 5 and all(len(x.split("\t")) == 14 for x in summary)
+    go("eventalign", *common, "--sam", "-o", at("sam"))
+    assert len(lines_of(tmp_path / "sam")) == 5
+    go("resquiggle", "--reads", at("reads.fa"), "--signals", at("blow5"), "--kmer-model", at("dna.model"), "-c", "-o", at("paf"))
+    assert len(lines_of(tmp_path / "paf")) == 5
+    (tmp_path / "fast5" / "sub").mkdir(parents=True)
+    (tmp_path / "fast5" / "sub" / "b.fast5").write_bytes(b"x")
+    (tmp_path / "sum.tsv").write_text("filename\tread_id\nb.fast5\tr1\n")
+    go("index", "--reads", at("reads.fa"), "--signals", at("fast5"), "--summary", at("sum.tsv"), "-o", at("readdb"))
+    index = dict(x.split("\t") for x in lines_of(tmp_path / "readdb"))
+    assert index["r1"].endswith("sub/b.fast5") and index["r0"] == "" and len(index) == 6
