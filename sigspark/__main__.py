@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p = verb("index", "reads", "signals")
     p.add_argument("--summary", action="append", default=[])
     p.add_argument("--summary-list")
+    p.add_argument("--slow5", action="store_true", help="index the records of binary signal files")
     for name in ("call-methylation", "eventalign"):
         p = verb(name, "reads", "alignments", "signals", "genome", "kmer-model")
         p.add_argument("--meth-model")
@@ -68,9 +69,9 @@ def _options(a) -> Options:
 
 
 def _reads(spark, path):
-    plain = not path.endswith(".gz") and not path.rstrip(".gz").endswith(("q", "fastq"))
-    return sequences.read_fasta(spark, path) if plain else sequences.read_fastx(spark, path).withColumn(
-        "ordinal", F.struct("file", "record"))
+    if path.endswith((".gz", ".fq", ".fastq")):
+        return sequences.read_fastx(spark, path).withColumn("ordinal", F.struct("file", "record"))
+    return sequences.read_fasta(spark, path)
 
 
 def _alignments(spark, path):
@@ -99,6 +100,10 @@ def run(a) -> None:
     elif a.verb == "freq-merge":
         out = jobs.freq_merge([tsv.read_frequencies(spark, t) for t in a.tables])
         tsv.write_lines(out, tsv.frequency_lines(), tsv.FREQUENCY_COLUMNS, a.output)
+    elif a.verb == "index" and a.slow5:
+        records = slow5.index_records(spark, a.signals)
+        records.write.mode("overwrite").parquet(a.output)
+        slow5.write_indexes(spark.read.parquet(a.output))
     elif a.verb == "index":
         summaries = a.summary + (tsv.read_path_list(spark, a.summary_list) if a.summary_list else [])
         out = jobs.index(_reads(spark, a.reads).select("read_id", "ordinal"),
