@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import warnings
 
 from pyspark.sql import SparkSession, functions as F
 
 from sigspark.functions.values import parse_count
-from sigspark.operators import alignments as A, squiggle
+from sigspark.operators import readindex, squiggle
 from sigspark.options import Options
 from sigspark.plans import jobs
 from sigspark.sources import sequences, slow5, tsv
@@ -110,6 +111,11 @@ def run(a) -> None:
                          [tsv.read_sequencing_summary(spark, s) for s in summaries],
                          tsv.list_signal_files(spark, a.signals))
         tsv.write_lines(out, F.concat_ws("\t", "read_id", "signal_path"), None, a.output)
+        totals = readindex.index_statistics(tsv.read_readdb(spark, a.output)).first()
+        if not totals["n_with_path"]:
+            raise SystemExit("no read was found in a signal file")
+        if totals["n_with_path"] < 0.99 * totals["n_reads"]:
+            warnings.warn(f"{totals['n_reads'] - totals['n_with_path']} of {totals['n_reads']} reads have no signal file")
     elif a.verb == "resquiggle":
         _, model, _ = _model(spark, a.kmer_model)
         out = jobs.resquiggle(_reads(spark, a.reads), _signals(spark, a.signals), model, Options(rna=a.rna), a.paf)
