@@ -196,7 +196,7 @@ def write_files(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[li
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(write, "part int, path string, docs long, tokens long"), "token-files")
+    return written(rows.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
