@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import compress
+from operator import not_
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: it would walk through all the small objects again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 class Memo:
@@ -16,19 +32,24 @@ class Memo:
         self.encode_many, self.limit, self.known = encode_many, limit, {}
 
     def encode(self, documents: Iterable[list]) -> list[bytes]:
+        with uncollected():
+            return self._encode(documents)
+
+    def _encode(self, documents: Iterable[list]) -> list[bytes]:
         get, held, fresh = self.known.get, [], set()
         for units in documents:
             ids = list(map(get, units))
-            if all(ids):
-                held.append((None, ids))
-            else:  # a unit without ids is asked for each time
-                fresh.update([unit for unit, known in zip(units, ids) if not known])  # noqa: B905
-                held.append((units, ids))
+            gaps = list(compress(range(len(ids)), map(not_, ids)))  # a unit without ids is asked for each time
+            words = [units[i] for i in gaps]
+            fresh.update(words)
+            held.append((ids, gaps, words))
         order = list(fresh)
         late = dict(zip(order, self.encode_many(order), strict=True))
-        out = [b"".join(ids if units is None else
-                        [known or late[unit] for unit, known in zip(units, ids)])  # noqa: B905
-               for units, ids in held]
+        out = []
+        for ids, gaps, words in held:
+            for i, word in zip(gaps, words, strict=True):
+                ids[i] = late[word]
+            out.append(b"".join(ids))
         room = max(0, self.limit - len(self.known))
         self.known.update(late if room >= len(late) else {unit: late[unit] for unit in order[:room]})
         return out

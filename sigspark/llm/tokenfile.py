@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -44,31 +45,40 @@ def word_memo(path: str, limit: int = 700_000) -> Memo:
     """Encoder of blank-free chunks for a tokenizer that lower-cases and drops white space, kept by the worker.
 
     The vocabulary's normaliser and splitter never look across ASCII white space, so the ids of a text are
-    those of its chunks; nor do they join a letter with a full stop or comma behind it, so these are encoded
-    apart. A word of Latin letters is one piece and goes to the model as it is.
+    those of its chunks; nor do they join a letter with the punctuation behind it, so these are
+    encoded apart. A word of Latin letters is one piece and goes to the model as it is.
     """
     if (path, limit) in _MEMOS:
         return _MEMOS[path, limit]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    pack_ids = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-    raw_ids = lambda chunk: pack_ids(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
+    raw_ids = lambda x: array("I", tokenizer.encode(x.decode(), add_special_tokens=False).ids).tobytes()
     # byte-level vocabularies spell bytes without a printable sign by letters from 256 on, in byte order
     hidden = {byte: 256 + i for i, byte in enumerate([*range(33), *range(127, 161), 173])}
     byte_letters = lambda text: text.encode().decode("latin-1").translate(hidden)
 
-    model, parts = tokenizer.model, re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+    model, latin = tokenizer.model, re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+    ends: dict[bytes, bytes] = {b"": b""}
+
+    def stem_ids(stem: bytes) -> bytes | None:
+        if stem.isalpha():  # ASCII letters
+            return array("I", [token.id for token in model.tokenize(stem.lower().decode())]).tobytes()
+        word = stem.decode().lower()
+        return array("I", [token.id for token in model.tokenize(byte_letters(word))]).tobytes() if latin(word) else None
 
     def encode_many(fresh: list[bytes]) -> list[bytes]:
-        found: dict[str, bytes] = {"": b"", **{x: raw_ids(x.encode()) for x in ".,"}}
         out = []
         for x in fresh:
-            if (m := parts(x.decode().lower())) and b"<|" not in x:
-                stem, end = m.groups()
-                if stem not in found:
-                    found[stem] = pack_ids([token.id for token in model.tokenize(byte_letters(stem))])
-                out.append(found[stem] + found[end])
+            stem = x.rstrip(b".,!?;:*#$%&|()/\"-")
+            end = x[len(stem):]
+            if stem and b"<|" not in x and (ids := stem_ids(stem)) is not None:
+                if end not in ends:
+                    if len(ends) > 10_000:
+                        ends.clear()
+                        ends[b""] = b""
+                    ends[end] = raw_ids(end)
+                out.append(ids + ends[end])
             else:
                 out.append(raw_ids(x))
         return out
@@ -86,7 +96,7 @@ class FrameWriter:
 
     def __init__(self, out: pa.NativeFile, frame_bytes: int = FRAME_BYTES) -> None:
         self.out, self.frame_bytes = out, frame_bytes
-        self.zstd = zstandard.ZstdCompressor(level=3)
+        self.zstd = zstandard.ZstdCompressor(level=1)
         self.held, self.size, self.frames = [], 0, []
         self.ids: list[int] = []
         self.counts: list[int] = []
