@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed in one step; longer texts are cut between words.
-STEP = 1 << 20
+STEP = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 #: Blank bytes: space and 09 to 0D.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -68,6 +69,12 @@ def word_hashes(column: pa.Array, blank: np.ndarray = BLANK, lower: np.ndarray =
     behind it, counted from the first byte of the column.
     """
     data, offsets = text_bytes(column)
+    return hashes_of(data, offsets, blank, lower, spans)
+
+
+def hashes_of(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK, lower: np.ndarray = LOWER,
+              spans: bool = False) -> tuple[np.ndarray, ...]:
+    """word_hashes of texts that are given as bytes and len + 1 offsets."""
     hashes, starts, ends = [], [], []
     for begin, end in _pieces(data, offsets, blank):
         part = data[begin:end]
@@ -102,7 +109,7 @@ def word_hashes(column: pa.Array, blank: np.ndarray = BLANK, lower: np.ndarray =
 def shingles(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of the k words from each place on; the last k - 1 places are left out."""
     n = max(len(hashes) - k + 1, 0)
-    out = np.full(n, np.uint64(seed) * _ODD, dtype=np.uint64)
+    out = np.full(n, (seed * int(_ODD)) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
             out = (out + hashes[i:i + n]) * _ODD
