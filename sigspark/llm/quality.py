@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigspark.llm import words
 
@@ -188,7 +189,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
             scores = 1 / (1 + np.exp(-np.clip(model.slope * scores + model.shift, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names)
 
-    kind = docs.schema.add(score, "double")
+    kind = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, kind)
 
 
