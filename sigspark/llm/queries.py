@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, decontam, licenses, neardup, pieces, quality, tokenfile
+from sigspark.llm import ann, chat, decontam, licenses, neardup, pieces, quality, tokenfile
 from sigspark.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_licenses", licenses.SQL)
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op1_nearest_neighbours")
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
