@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import ann, chat, decontam, licenses, neardup, pieces, quality, tokenfile
+from sigspark.llm import ann, chat, decontam, licenses, neardup, passages, pieces, quality, tokenfile
 from sigspark.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_nearest_neighbours")
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_repeated_passages")
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
