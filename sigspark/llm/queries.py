@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import ann, chat, decontam, licenses, neardup, passages, pieces, quality, tokenfile
+from sigspark.llm import ann, chat, decontam, extraction, licenses, neardup, passages, pieces, quality, tokenfile
 from sigspark.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repeated_passages")
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_main_text")
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
