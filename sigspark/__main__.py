@@ -77,8 +77,7 @@ def _reads(spark, path):
 
 def _alignments(spark, path):
     if path.endswith(".bam"):
-        rows = sequences.read_bam(spark, path)
-        return rows.withColumn("aln_id", F.col("record")).drop("seq")
+        return sequences.with_alignment_ids(sequences.read_bam(spark, path).drop("seq"))
     return sequences.with_ordinals(sequences.read_sam(spark, path))
 
 

@@ -90,3 +90,16 @@ def fixed(x: Column, digits: int) -> Column:
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))
             .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text)))
+
+
+def general(x: Column) -> Column:
+    """printf("%g") text: six significant digits, trailing zeros cut off, exponents below -4 and from 6 on."""
+    x = x.cast("double")
+    size = F.abs(x)
+    bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    text = F.when(x == 0, F.lit("0"))
+    for exponent in range(-4, 6):
+        text = text.when((size >= 10.0 ** exponent) & (size < (999999.5 if exponent == 5 else 10.0 ** (exponent + 1))),
+                         bare(fixed(x, 5 - exponent)))
+    special = F.isnan(x) | (size == float("inf"))
+    return F.when(special, fixed(x, 0)).otherwise(text.otherwise(bare(F.format_string("%.5e", x))))

@@ -357,11 +357,11 @@ def run_counters(spark, sf):
 
 
 @query("over_segmented", sql("reads", """, e AS (SELECT event_id // 100 AS read_id, count(*) * 10 AS n_events FROM events GROUP BY 1)
-  SELECT r.read_id, n_events / length(seq) < 15.0 AS alignable FROM reads r JOIN e ON r.read_id = e.read_id WHERE length(seq) > 0"""))
+  SELECT r.read_id, coalesce(coalesce(n_events, 0) / nullif(length(seq), 0) < 15.0, false) AS alignable FROM reads r LEFT JOIN e ON r.read_id = e.read_id"""))
 def over_segmented(spark, sf):
     n = V.signal(spark, sf).groupBy("read_id").agg((F.count("*") * 10).alias("n_events"))
-    rows = V.reads(spark, sf).where(F.length("seq") > 0).join(n, "read_id")
-    return rows.select("read_id", quality.alignable(F.col("n_events"), F.length("seq")).alias("alignable"))
+    rows = V.reads(spark, sf).join(n, "read_id", "left")
+    return rows.select("read_id", quality.alignable(F.coalesce("n_events", F.lit(0)), F.length("seq")).alias("alignable"))
 
 
 # ---- read index

@@ -136,9 +136,9 @@ def methylate_reverse_complement(spark, sf):
 @query("disambiguate", sql("letters", f"""SELECT read_id,
   md5(list_aggregate(list_transform(string_split(translate(letters, '{V.LETTERS}', '{V.IUPAC}'), ''),
     lambda c: CASE WHEN c IN ('M','R','W','V','H','D','N') THEN 'A' WHEN c IN ('S','Y','B') THEN 'C' WHEN c = 'K' THEN 'G' ELSE c END),
-    'string_agg', '')) AS plain FROM letters WHERE length(letters) > 0"""))
+    'string_agg', '')) AS plain FROM letters"""))
 def disambiguate(spark, sf):
-    codes = V.letters(spark, sf).where(F.length("letters") > 0).select(
+    codes = V.letters(spark, sf).select(
         "read_id", F.lower(F.translate("letters", V.LETTERS, V.IUPAC)).alias("codes"))
     return codes.select("read_id", F.md5(S.disambiguate(F.col("codes"))).alias("plain"))
 

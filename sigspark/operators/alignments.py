@@ -12,6 +12,8 @@ from sigspark.functions.values import parse_region
 UNMAPPED, REVERSE, SECONDARY = 4, 16, 256
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 DEFAULT_BIN = 1 << 14
+#: Bases of the pieces that a broadcast contig is cut into, so that a slice is found without a walk through it.
+BROADCAST_TILE = 1 << 12
 
 
 def usable_alignments(alignments: DataFrame, min_mapq: int = 20, secondary: bool = False) -> DataFrame:
@@ -125,10 +127,12 @@ def join_signals(rows: DataFrame, signals: DataFrame, skip_unreadable: bool = Tr
 
 def reference_tiles(reference: DataFrame, tile: int) -> DataFrame:
     """Cut contigs into (contig, tile, bases) rows so that no row or key is a whole chromosome."""
-    n = F.length("seq")
-    return reference.where(n > 0).select(
-        "contig", "seq", F.explode(F.sequence(F.lit(0), F.expr(f"(length(seq) - 1) div {tile}"))).alias("tile")
-    ).select("contig", "tile", F.expr(f"substring(seq, tile * {tile} + 1, {tile})").alias("bases"))
+    return reference.select("contig", F.posexplode(_cut(tile)).alias("tile", "bases"))
+
+
+def _cut(tile: int) -> Column:
+    """The text of ``seq`` in pieces of ``tile`` bases, made in one pass over the contig."""
+    return F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))
 
 
 def with_reference(alignments: DataFrame, reference: DataFrame, tile: int = 1 << 16,
@@ -142,15 +146,21 @@ def with_reference(alignments: DataFrame, reference: DataFrame, tile: int = 1 <<
     size = reference.select(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
     length = F.col("aln_end") - F.col("pos") + 1
     if size <= max_broadcast_bytes:
-        ref = reference.select("contig", F.col("seq").alias("_contig_seq"))
-        return alignments.join(F.broadcast(ref), "contig", "left").withColumn("ref", F.coalesce(
-            F.substring(F.col("_contig_seq"), F.col("pos") + 1, length), F.lit(""))).drop("_contig_seq")
-    keys = alignments.select("aln_id", "contig", "pos", "aln_end", F.explode(F.sequence(
+        piece = min(tile, BROADCAST_TILE)
+        ref = F.broadcast(reference.select("contig", _cut(piece).alias("_pieces")))
+        first = F.expr(f"cast(pos div {piece} as int)")
+        touched = F.slice("_pieces", first + 1, F.expr(f"cast(aln_end div {piece} as int)") - first + 1)
+        ref_text = F.substring(F.array_join(touched, ""), F.col("pos") - first * piece + 1, length)
+        return (alignments.join(ref, "contig", "left")
+                .withColumn("ref", F.coalesce(F.when(F.col("pos") >= 0, ref_text), F.lit(""))).drop("_pieces"))
+    # the slice depends on the place alone, so alignments of equal number or place share it unharmed
+    place = ["contig", "pos", "aln_end"]
+    keys = alignments.select(*place).distinct().select(*place, F.explode(F.sequence(
         F.expr(f"pos div {tile}"), F.expr(f"aln_end div {tile}"))).alias("tile"))
     cut_from = F.greatest(F.col("pos") - F.col("tile") * tile, F.lit(0))
     cut_to = F.least(F.col("aln_end") - F.col("tile") * tile, F.lit(tile - 1))
     slices = keys.join(reference_tiles(reference, tile), ["contig", "tile"]).select(
-        "aln_id", "tile", F.substring(F.col("bases"), cut_from + 1, cut_to - cut_from + 1).alias("part"))
-    whole = slices.groupBy("aln_id").agg(F.concat_ws("", F.transform(
+        *place, "tile", F.substring(F.col("bases"), cut_from + 1, cut_to - cut_from + 1).alias("part"))
+    whole = slices.groupBy(*place).agg(F.concat_ws("", F.transform(
         F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda t: t["part"])).alias("ref"))
-    return alignments.join(whole, "aln_id", "left").withColumn("ref", F.coalesce("ref", F.lit("")))
+    return alignments.join(whole, place, "left").withColumn("ref", F.coalesce("ref", F.lit("")))

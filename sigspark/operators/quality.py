@@ -9,12 +9,14 @@ FAILED_CALIBRATION, FAILED_ALIGNMENT, FAILED_QUALITY = 1, 2, 4
 MAX_CALIBRATION_VAR = 2.5
 MAX_EVENTS_PER_BASE = 5.0
 MAX_EVENTS_PER_READ_BASE = 15.0
+#: Below one event per base the chance to stay on a base would be negative, so such a read can't be scored.
+MIN_EVENTS_PER_BASE = 1.0
 MIN_EVENTS_TO_RESCALE = 200
 
 
 def alignable(n_events: Column, read_length: Column) -> Column:
-    """False for over-segmented reads; the read length in bases is what counts, not its k-mers."""
-    return n_events / read_length < MAX_EVENTS_PER_READ_BASE
+    """False for over-segmented and for empty reads; the length in bases is what counts, not the k-mers."""
+    return F.coalesce(n_events / F.nullif(read_length, F.lit(0)) < MAX_EVENTS_PER_READ_BASE, F.lit(False))
 
 
 def read_status(n_pairs: Column, n_match: Column, var: Column, events_per_base: Column,
@@ -22,7 +24,7 @@ def read_status(n_pairs: Column, n_match: Column, var: Column, events_per_base:
     return (F.when(F.coalesce(n_pairs, F.lit(0)) == 0, F.lit(FAILED_ALIGNMENT))
             .when((F.coalesce(n_match, F.lit(0)) < min_events) | (var > MAX_CALIBRATION_VAR),
                   F.lit(FAILED_CALIBRATION))
-            .when(events_per_base > MAX_EVENTS_PER_BASE, F.lit(FAILED_QUALITY))
+            .when((events_per_base > MAX_EVENTS_PER_BASE) | (events_per_base < MIN_EVENTS_PER_BASE), F.lit(FAILED_QUALITY))
             .otherwise(F.lit(0)))
 
 

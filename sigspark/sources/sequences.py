@@ -166,6 +166,17 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(spark, path, SAM_SCHEMA, _bam_records)
 
 
+def with_alignment_ids(rows: DataFrame, name: str = "aln_id") -> DataFrame:
+    """Consecutive numbers over all files, in order of (file, record).
+
+    Only one count per file is ordered; its running sum is joined back as the offset of the file.
+    """
+    counts = rows.groupBy("file").agg((F.max("record") + 1).alias("_n"))
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).cast("long").alias("_before"))
+    return rows.join(offsets, "file").withColumn(name, F.col("_before") + F.col("record")).drop("_before")
+
+
 def with_ordinals(rows: DataFrame, id_column: str = "ordinal", name: str = "aln_id") -> DataFrame:
     """Consecutive numbers in scan order from ids that only increase.
 

@@ -118,3 +118,10 @@ def test_nearest_event_matches_the_kernel(spark):
     frame = spark.createDataFrame(rows, "read_id int, k_idx int, start_event int")
     got = [r.event_idx if r.event_idx is not None else -1 for r in nearest.nearest_event(frame).orderBy("k_idx").collect()]
     assert got == reference.closest_events(start.astype(np.int32)).tolist()
+
+
+def test_general_equals_printf(spark):
+    from sigspark.functions import stats
+    values = [0.0, 1.0, -1.5, 85.123456, 100.0, 123456.0, 999999.4, 999999.6, 1234567.0, 1e-5, 0.0001, 0.00012345678, 9.9999996, 3e20, -2.5e-7]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", stats.general(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == ["%g" % r["v"] for r in rows]

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sigspark.harness.registry import ORACLES, QUERIES
 from tests.conftest import DATA
 
 SLOW = {"banded_alignment", "read_calibration", "methylation_calls", "event_realignment", "event_realignment_summary", "resquiggle_reads"}
@@ -27,22 +28,23 @@ def rows(frame):
     return columns, sorted(tuple(map(text, r)) for r in frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    assert rows(entry.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(entry.oracle_sql()[name]).df())
+    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(ORACLES[name]).df())
 
 
 def test_entry_and_registry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == SLOW | {"detect_events"}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(QUERIES) - set(ORACLES) == SLOW | {"detect_events"}
 
 
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_no_pairwise_products(spark, name):
     text = plan(entry.queries()[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
