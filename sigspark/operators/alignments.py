@@ -58,16 +58,18 @@ def bed_overlap(alignments: DataFrame, bed: DataFrame, bin_size: int = DEFAULT_B
 
     BED starts are used as 1-based positions, so a region reaches one base further to the left
     than its file says. Both sides are cut into bins and met by an equality join on
-    (contig, bin); a pair sharing several bins is kept in the first common one only. A small BED
-    file is broadcast after its rows have been counted; a larger one is shuffled, where AQE can
-    split a bin that holds very many alignments.
+    (contig, bin); a pair sharing several bins is kept in the first common one only. Regions are
+    broadcast if they lie in few bins, counted from their ends alone; else they are shuffled, where
+    AQE can split a bin that holds very many alignments.
     """
     regions = bed.select("region_id", F.col("contig").alias("_rc"),
                          F.greatest(F.col("beg") - 1, F.lit(0)).alias("_rb"), F.col("end").alias("_re"))
-    small = regions.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    regions = regions.where("_re > _rb")
+    bins = regions.agg(F.sum(F.expr(f"(_re - 1) div {bin_size} - _rb div {bin_size} + 1"))).first()[0]
+    small = (bins or 0) <= max_broadcast_rows
     left = alignments.withColumn("_bin", F.explode(F.sequence(
         F.expr(f"pos div {bin_size}"), F.expr(f"greatest(pos, aln_end - 1) div {bin_size}"))))
-    right = regions.where("_re > _rb").withColumn("_rbin", F.explode(F.sequence(
+    right = regions.withColumn("_rbin", F.explode(F.sequence(
         F.expr(f"_rb div {bin_size}"), F.expr(f"(_re - 1) div {bin_size}"))))
     first_common = F.greatest(F.expr(f"pos div {bin_size}"), F.expr(f"_rb div {bin_size}"))
     on = ((F.col("contig") == F.col("_rc")) & (F.col("_bin") == F.col("_rbin"))

@@ -37,7 +37,7 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert set(QUERIES) - set(ORACLES) == SLOW | {"detect_events"}
+    assert set(QUERIES) - set(ORACLES) == SLOW
 
 
 def plan(frame):
