@@ -67,12 +67,16 @@ def word_memo(path: str, limit: int = 700_000) -> Memo:
         word = stem.decode().lower()
         return array("I", [token.id for token in model.tokenize(byte_letters(word))]).tobytes() if latin(word) else None
 
+    def known_ids(stem: bytes, end: bytes) -> bytes | None:
+        """Ids of a stem that was met alone; behind a letter or digit punctuation is a piece of its own."""
+        return memo.known.get(stem) if end and stem[-1:].isalnum() else None
+
     def encode_many(fresh: list[bytes]) -> list[bytes]:
         out = []
         for x in fresh:
             stem = x.rstrip(b".,!?;:*#$%&|()/\"-")
             end = x[len(stem):]
-            if stem and b"<|" not in x and (ids := stem_ids(stem)) is not None:
+            if stem and b"<|" not in x and (ids := known_ids(stem, end) or stem_ids(stem)) is not None:
                 if end not in ends:
                     if len(ends) > 10_000:
                         ends.clear()

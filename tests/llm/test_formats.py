@@ -18,7 +18,7 @@ from sigspark.llm.queries import vocabulary
 WORDS = vocabulary("word_bpe_49k.json")
 MODEL = vocabulary("piece_bpe_32k.model")
 ODD = ["", " ", "\n\n", "a", "Hello, World! it's 3.5%", "<|endoftext|> a <|STARTOFTEXT|> b<|startoftext|>", "ÀÉ éê ß ẞ İ K Å", "é ẍ", "日本語 ... ~ ~~", "x" * 3000,
-       "don't WE'LL  I've\t'tis", "a b c\x1cd\x85e", "!!!??? ...,,, (a) [b] <c> a.b,c", "🙂🙃 ok", "½ ² 12,345.67", "_a_ -b- #c"]
+       "don't WE'LL  I've\t'tis", "a b c\x1cd\x85e", "!!!??? ...,,, (a) [b] <c> a.b,c", "🙂🙃 ok", "½ ² 12,345.67", "_a_ -b- #c", "5€. 5€ 5€, 7. 7 it's. it's"]
 
 
 def test_chunks_give_the_ids_of_whole_texts():
