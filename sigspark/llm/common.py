@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links that one task of a round takes.
+TASK_ROWS = 500_000
+
 _LOCAL: list[str] = []
 
 
@@ -49,23 +55,40 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     neighbour (large star, then small star), which leaves stars after about log(n) rounds. A node of
     any degree is reduced by partial minima before it moves; no group is collected.
     """
-    spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                     .where("a <> b").distinct(), name)
     before = None
     while True:
+        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before, tasks = now, now[0] // TASK_ROWS + 8  # few links need few tasks
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = (both.where("b > a").join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).coalesce(tasks)
+        large = (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+                 .where("a <> b").coalesce(tasks).distinct().coalesce(tasks))
+        least = large.groupBy("a").agg(F.min("b").alias("least")).coalesce(tasks)
         small = (large.join(least, "a")
                  .select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"),
-                         F.col("least").alias("b")).where("a <> b").distinct())
+                         F.col("least").alias("b")).where("a <> b").coalesce(tasks).distinct().coalesce(tasks))
         edges = written(small, name)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return written(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), name)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of the rows of each value of the first column, for batches that are sorted by it."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+        cuts = (np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1).tolist()
+        for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            part = [c[begin:end] for c in columns]
+            if held and held[-1][0][0] != part[0][0]:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            held.append(part)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]

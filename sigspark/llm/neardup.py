@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.llm import words
-from sigspark.llm.common import components, written
+from sigspark.llm.common import components, sorted_runs, written
 
 #: Bands and rows of a band. A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
@@ -26,9 +26,8 @@ BANDS, ROWS = 24, 4
 MISS = 1e-6
 #: Signature places compared at a time, and shingles hashed at a time.
 STEP, BLOCK = 16, 1 << 15
-#: Pairs for each node above which another round of pivots goes before the rest of the pairs is compared, and
-#: the round that compares the rest in any case.
-REST, LAST_ROUND = 20, 8
+#: Nodes of a block of a cluster, and tasks that write a table of ids at most.
+BLOCK_NODES, TASKS = 1024, 64
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,6 +143,88 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, per
     return written(full.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
+def _rest_of_buckets(members: DataFrame, nodes: DataFrame, texts: DataFrame, found: DataFrame, k: int, percent: int,
+                     miss: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and are similar, but for a slack of two shingles.
+
+    Nodes that buckets of several components connect are a cluster. In a cluster, the nodes outside of its largest
+    component meet all nodes. Both are cut into blocks of BLOCK_NODES, and inside a task signatures and then 32-bit
+    shingle hashes are compared, so pairs become rows only where they are links. A node goes along with its set once
+    for each block that it meets, not once for each bucket.
+    """
+    held = (members.select("key", "node").join(found, "node", "left")
+            .select("key", "node", F.coalesce("component", "node").alias("component")))
+    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                    F.min("node").alias("b")).where("low <> high").select("key", "b")
+    edges = held.join(mixed, "key").select(F.col("node").alias("a"), "b", "component").distinct()
+    edges = written(edges.coalesce(TASKS), "mixed")
+    clusters = components(edges.select("a", "b"))
+    own = edges.select(F.col("a").alias("node"), "component").distinct().join(clusters, "node", "left").select(
+        "node", edges["component"].alias("own"), F.coalesce(clusters["component"], F.col("node")).alias("cluster"))
+    own = written(own.coalesce(TASKS), "clusters")
+    sizes = (own.groupBy("cluster", "own").agg(F.count("*").alias("n")).groupBy("cluster")
+             .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("own", F.struct("n", "own")).alias("main")))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_NODES), F.lit(1)).cast("long")
+    plan = sizes.where("n > most").select("cluster", "main", blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("most")).alias("columns"))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), k)[0]
+            small = [np.sort((x >> np.uint64(32)).astype("<u4")).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "shingles"])
+
+    placed = own.join(plan, "cluster")
+    wanted = texts.join(placed.select("node").distinct(), "node", "left_semi").select("node", "text")
+    sets = wanted.mapInArrow(reduce, "node long, shingles binary")
+    placed = placed.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    block = lambda over: F.pmod(F.xxhash64("node"), F.col(over))
+    each = lambda over: F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1))
+    minor = F.col("own") != F.col("main")
+    columns = [F.xxhash64("cluster", "i", "j").alias("g"), "side", minor.alias("minor"), "node", "own", "signature", "shingles"]
+    every = placed.withColumn("side", F.lit(0)).withColumn("i", block("rows")).withColumn("j", each("columns")).select(*columns)
+    other = placed.where(minor).withColumn("side", F.lit(1)).withColumn("j", block("columns")).withColumn("i", each("rows")).select(*columns)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, side, minor, node, own, signature, shingles in sorted_runs(batches):
+            signs = np.frombuffer(b"".join(signature), ">u2").reshape(len(node), BANDS, ROWS)
+            sets = [np.frombuffer(x, "<u4") for x in shingles]
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
+                continue
+            sizes = np.array([len(x) for x in sets])
+            names, place = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum(sizes)
+            flat = np.concatenate([place[ends[j] - sizes[j]:ends[j]] for j in right])
+            starts = np.append(0, np.cumsum(sizes[right])[:-1])
+            present, one, two = np.zeros(len(names), bool), [], []
+            for i in left:
+                mine = place[ends[i] - sizes[i]:ends[i]]
+                maybe = (own[right] != own[i]) & ((minor[i] == 0) | (node[right] > node[i]))
+                small, large = np.minimum(sizes[right], sizes[i]), np.maximum(sizes[right], sizes[i])
+                at = np.flatnonzero(maybe & (100 * small >= percent * large))
+                at = at[(signs[right[at]] == signs[i]).all(axis=2).any(axis=1)]
+                if not len(at):
+                    continue
+                at = at[screened(np.broadcast_to(signs[i].reshape(-1), (len(at), BANDS * ROWS)), signs[right[at]].reshape(len(at), -1), percent, miss)]
+                if not len(at):
+                    continue
+                present[mine] = True
+                both, total = np.add.reduceat(present[flat].astype(np.int64), starts)[at], sizes[i] + sizes[right[at]]
+                present[mine] = False
+                linked = lambda n: 100 * n >= percent * (total - n)  # noqa: B023, E731
+                # a sure link joins two components, so one is enough; close calls are all looked at again
+                sure = at[linked(both - 2)]
+                sure = sure[np.unique(own[right[sure]], return_index=True)[1]]
+                close = at[linked(both + 2) & ~np.isin(own[right[at]], own[right[sure]])]
+                one += [node[i]] * (len(sure) + len(close))
+                two += node[right[np.append(sure, close)]].tolist()
+            if one:
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["a", "b"])
+
+    groups = every.union(other).repartition("g").sortWithinPartitions("g")
+    return groups.mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
@@ -169,46 +250,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     texts = written(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
     confirm = lambda pairs: _confirmed(pairs, nodes, texts, k, percent, miss)
 
-    candidates = (members.where("node <> p0").groupBy("node").agg(F.min("p0").alias("b"))
-                  .select(F.col("node").alias("a"), "b"))
-    tested, links, found, final = None, None, None, False
-    for step in range(LAST_ROUND + 1):
-        if found is None:
-            pairs = written(candidates, "pairs")
-            tested, links = pairs, confirm(pairs)
-        else:
-            named = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-            other = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = written(candidates.join(named, "a", "left").join(other, "b", "left")
-                            .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-                            .join(tested, ["a", "b"], "left_anti"), "pairs")
-            tested, links = tested.union(pairs), links.union(confirm(pairs))
-        found = written(components(links), "components")
-        if final:
-            break
-        if step == 0:
-            candidates = (members.select("node", F.explode(F.array("p0", "p1", "p2")).alias("p")).where("node <> p")
-                          .select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct())
-            continue
-        held = (members.select("key", "node").join(found, "node", "left")
-                .select("key", "node", F.coalesce("component", "node").alias("component")))
-        sizes = written(held.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key")
-                        .agg(F.count("*").alias("parts"), ((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"))
-                        .where("parts > 1"), "mixed")
-        left = sizes.agg(F.sum("pairs")).first()[0]
-        if left is None:
-            break
-        mixed = written(held.join(sizes, "key").select("key", "node", "component"), "mixed")
-        final = step == LAST_ROUND - 1 or left <= REST * nodes.count()
-        if final:  # all pairs of different components
-            one = mixed.select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-            two = mixed.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-            candidates = one.join(two, "key").where("cx < cy")
-        else:  # one more pivot of each bucket, chosen by a hash
-            candidates = (mixed.withColumnRenamed("node", "x")
-                          .join(mixed.groupBy("key").agg(order(step + 2).alias("y")), "key").where("x <> y"))
-        candidates = candidates.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    named = signed.join(nodes.select("mark1", "mark2", "node"), ["mark1", "mark2"], "left").join(found, "node", "left")
+    first = written(members.where("node <> p0").groupBy("node").agg(F.min("p0").alias("b"))
+                    .select(F.col("node").alias("a"), "b"), "pairs")
+    links = confirm(first)
+    found = components(links)
+    stars = (members.select("node", F.explode(F.array("p0", "p1", "p2")).alias("p")).where("node <> p")
+             .select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct())
+    named = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    other = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    second = written(stars.join(named, "a", "left").join(other, "b", "left")
+                     .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(confirm(second))
+    found = components(links)
+    rest = _rest_of_buckets(members, nodes, texts, found, k, percent, miss).join(first.union(second), ["a", "b"], "left_anti")
+    placed = written(signed.drop("signature").join(nodes.select("mark1", "mark2", "node"), ["mark1", "mark2"], "left"), "placed")
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most")
+    same = placed.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")  # texts of one doc_id
+    found = components(links.union(confirm(rest)).union(same))
+    named = placed.join(found, "node", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(linked, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"),
