@@ -26,8 +26,9 @@ from sigspark.llm.common import written
 
 #: Tables, cells visited in each, and the cell width for projections of standard deviation 1.
 TABLES, PROBES, WIDTH = 16, 150, 4.0
-#: Index entries of a group, and what single precision may be off.
-GROUP, SLACK = 4096, 1e-5
+#: Index entries of a group, and what single precision may be off. A query gets n + 1 candidates or few more from
+#: each group that it visits; these are as many as its visited cells at most, however large the index is.
+GROUP, SLACK = 16_384, 1e-5
 
 
 def projections(n: int) -> int:
