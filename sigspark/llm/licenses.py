@@ -9,6 +9,7 @@ operations.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,22 @@ SHARE = 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lowered(text: str = "text") -> Column:
-    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER)
+#: Word and gap in text that is not lower-cased yet.
+_RAW_WORD, _GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _whole(patterns: Iterable[str]) -> str:
+    """Any of the patterns between two gaps, in upper or lower case; a position within a word fails at once."""
+    return f"(?i)(?:^|{_GAP[:-1]})(?:{'|'.join(patterns)})(?:{_GAP[:-1]}|$)"
+
+
+def plain(text: str = "text") -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def lowered(text: Column) -> Column:
+    """The text in lower case. Other letters than A-Z may change too, but into none of a phrase or statement."""
+    return F.lower(text)
 
 
 def word_list(text: Column) -> Column:
@@ -60,16 +75,15 @@ def _places(words: Column, phrase: list[str]) -> Column:
 
 def phrase_places(docs: DataFrame, phrases: tuple = PHRASES, text: str = "text") -> DataFrame:
     """All columns of docs; n_words, n_base, first_word, last_word and base_found (labels in phrase order)."""
-    low, none = lowered(text), F.array().cast("array<int>")
-    gap = WORD.replace("[^", "[")
-    found = docs.withColumn("n_words", F.regexp_count(low, F.lit(WORD)).cast("long"))
-    listed = []
-    for phrase, _ in phrases:
-        parts = phrase.split()  # the search spares most texts the list of words
-        listed.append(F.when(low.rlike(gap.join(parts)), _places(word_list(low), parts)).otherwise(none))
-    found = found.withColumn("_places", F.array(*listed))
+    none = F.array().cast("array<array<int>>")
+    found = docs.withColumn("n_words", F.regexp_count(plain(text), F.lit(_RAW_WORD)).cast("long"))
+    # the search spares most texts the list of words
+    some = plain(text).rlike(_whole(_GAP.join(phrase.split()) for phrase, _ in phrases))
+    found = found.withColumn("_words", F.when(some, word_list(lowered(plain(text)))))
+    found = found.withColumn("_places", F.when(F.col("_words").isNull(), none).otherwise(
+        F.array(*(_places(F.col("_words"), phrase.split()) for phrase, _ in phrases))))
     every = F.flatten("_places")
-    labels = F.array_compact(F.array(*(F.when(F.size(F.get("_places", F.lit(i))) > 0, label)
+    labels = F.array_compact(F.array(*(F.when(F.coalesce(F.size(F.get("_places", F.lit(i))), F.lit(0)) > 0, label)
                                        for i, (_, label) in enumerate(phrases))))
     return found.select(*docs.columns, "n_words", F.size(every).cast("long").alias("n_base"),
                         F.array_min(every).cast("long").alias("first_word"),
@@ -85,7 +99,7 @@ def containing_lines(docs: DataFrame, statements: tuple = STATEMENTS, share: flo
     spark = docs.sparkSession
     sets = [(i, label, sorted(set(text.split())), len(set(text.split()))) for i, (text, label) in enumerate(statements)]
     vocabulary = sorted({word for _, _, words, _ in sets for word in words})
-    counts = {row["word"]: row["n"] for row in docs.select(F.explode(word_list(lowered(text))).alias("word"))
+    counts = {row["word"]: row["n"] for row in docs.select(F.explode(word_list(lowered(plain(text)))).alias("word"))
               .where(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rank = {word: i for i, word in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     prefix, needs = [], {}
@@ -96,10 +110,12 @@ def containing_lines(docs: DataFrame, statements: tuple = STATEMENTS, share: flo
             prefix.append((word, number, label, at, size, needs[number], ordered))
     starts = F.broadcast(spark.createDataFrame(
         prefix, "word string, statement int, label string, at int, size int, needed int, words array<string>"))
-    rare = F.array(*map(F.lit, sorted({row[0] for row in prefix})))
+    words = sorted({row[0] for row in prefix})
+    rare, any_rare = F.array(*map(F.lit, words)), _whole(words)  # a search before any word is listed
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    lines = (docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(lowered(text), "\n")).alias("line", "content"))
-             .select("doc_id", "line", F.array_distinct(word_list(F.col("content"))).alias("own"))
+    lines = (docs.where(plain(text).rlike(any_rare))
+             .select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(lowered(plain(text)), "\n")).alias("line", "content"))
+             .where(F.col("content").rlike(any_rare)).select("doc_id", "line", F.array_distinct(word_list(F.col("content"))).alias("own"))
              .where(F.arrays_overlap("own", rare)))
     # the line's words that any statement has, in the global order
     known = F.transform(F.array_sort(F.transform(
