@@ -150,13 +150,22 @@ def long_cover(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of what the stretches cover together."""
+    order = np.argsort(begin, kind="stable")
+    reach = np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.append(True, begin[order][1:] > reach[:-1]))
+    return begin[order][first], np.maximum.reduceat(end[order], first)
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cover: bool = False) -> DataFrame:
     """(doc_id, first_word, n_words, other_id, other_first_word, n_equal) of every repeated stretch.
 
     A stretch of doc_id is repeated in other_id, a smaller doc_id, or earlier in the same text (then other_id is
     doc_id). Listed are stretches of at least STRETCH words, EQUAL of them equal, that are part of a cover of at least
     PASSAGE words. Words are runs without white space, A-Z in lower case. Null and short texts have none, nor have
-    rows without doc_id. Rows that repeat a doc_id are taken as one document with several texts: they are compared
+    rows without doc_id. With `cover`, the words that the listed stretches of a document cover together are given
+    instead, as (doc_id, first_word, n_words). Rows that repeat a doc_id are taken as one document with several texts: they are compared
     with the others, not with each other.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
@@ -256,9 +265,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in sorted_runs(batches):
             keep = long_cover(columns[1], columns[1] + columns[2])
+            if cover:
+                if keep.any():
+                    begin, end = merged(columns[1][keep], (columns[1] + columns[2])[keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), columns[0][0])), pa.array(begin), pa.array(end - begin)], names[:3])
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
 
-    return spans.distinct().repartition("doc_id").sortWithinPartitions("doc_id", "first_word", "n_words", "other_id").mapInArrow(long_ones, kind)
+    return spans.distinct().repartition("doc_id").sortWithinPartitions("doc_id", "first_word", "n_words", "other_id").mapInArrow(
+        long_ones, ", ".join(f"{name} long" for name in names[:3]) if cover else kind)
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

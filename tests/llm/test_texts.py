@@ -112,8 +112,14 @@ def test_passages_are_found_and_cut(spark, documents):
     assert len(covered[11] & set(range(90))) >= 85
     assert set(range(60, 120)) <= covered[30]
     assert not {1, 10, 20, 21, 22, 23, 40} & set(covered)
+    cover = passages.repeated_passages(docs, cover=True)
+    joined = {}
+    for row in cover.collect():
+        assert not joined.get(row.doc_id, set()) & set(range(row.first_word, row.first_word + row.n_words))
+        joined.setdefault(row.doc_id, set()).update(range(row.first_word, row.first_word + row.n_words))
+    assert joined == covered
     cut = {}
-    for row in passages.without_passages(docs, found).collect():
+    for row in passages.without_passages(docs, cover).collect():
         cut.setdefault(row.doc_id, []).append(row)
     assert set(cut) >= {None, 1, 2, 10, 20, 21, 22, 23, 40} and len(cut[40]) == 2
     kept = cut[3][0]
