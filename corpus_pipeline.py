@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand in an earlier document or earlier in the same text."""
-    return passages.without_passages(docs, passages.repeated_passages(docs))
+    return passages.without_passages(docs, passages.repeated_passages(docs, cover=True))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
