@@ -3,8 +3,8 @@
 Seeds are hashes of K words, of which the least in every window of WINDOW places are kept, so two equal stretches of
 K + WINDOW - 1 words share a seed. Each seed is tied to its owner, the smallest doc_id that has it, and not to all
 documents that have it, so a passage of any frequency costs a pair for each place. The matches of a document with an
-owner are chained in order of both texts, gaps at a cost, by a Fenwick tree; the words of a chain are aligned, and
-what the aligned stretches of a document cover together counts as repeated if it is long enough.
+owner are chained in order of both texts, gaps at a cost, by a Fenwick tree; the words of a chain are aligned and cut
+into stretches that are equal enough, and what these cover together counts as repeated if it is long enough.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from sigspark.llm import words
 from sigspark.llm.common import sorted_runs, written
+from sigspark.llm.decontam import overlap
 
 #: Words of a seed, places of a window, cost of a word between two seeds (on either side), words beside a chain that
 #: are tried.
 K, WINDOW, GAP, MARGIN = 6, 16, 0.15, 24
 #: Words of a repeated passage, of one aligned stretch in it, words between two stretches, least share of equal words.
 PASSAGE, STRETCH, BETWEEN, EQUAL = 50, 12, 6, 0.8
+#: Equal words that every seed begins with; words of a stretch between two diagonals that is aligned in full.
+RUN, LONG = K, 200
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -103,39 +106,115 @@ def _grown(equal: np.ndarray) -> int:
     return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
 
 
-def _gap_equal(a: np.ndarray, b: np.ndarray) -> int:
-    """Equal words of the best alignment of two short stretches (longest common subsequence)."""
-    if len(a) == len(b) and (n := int((a == b).sum())) * 2 >= len(a):
-        return n
-    row = np.zeros(len(b) + 1, np.int64)
-    for word in a:
-        hit = row[:-1] + (b == word)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], hit))
-    return int(row[-1])
-
-
-def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(begin in a, end, begin in b, end, equal words) of a chain with seeds at x in a and y in b.
-
-    Seeds are equal; what is between two is aligned, and both ends grow along their diagonal.
+def _between(a: np.ndarray, b: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns (place in a, place in b, equal) of two stretches from x and y on, aligned by their longest common
+    subsequence; words that are not in it stand over each other. Of long stretches only both ends are compared, as no
+    seed lies between them."""
+    n, m = len(a), len(b)
+    if n == m and (n > LONG or int((a == b).sum()) * 2 >= n):
+        return x + np.arange(n), y + np.arange(n), a == b
+    if max(n, m) > LONG:
+        half = min(n, m, LONG) // 2
+        middle, both = max(n, m) - 2 * half, np.arange(half)
+        place = lambda begin, size: np.concatenate([begin + both, begin + half + np.minimum(np.arange(middle), size - 2 * half), begin + size - half + both])
+        equal = np.concatenate([a[:half] == b[:half], np.zeros(middle, bool), a[n - half:] == b[m - half:]])
+        return place(x, n), place(y, m), equal
+    table = np.zeros((n + 1, m + 1), np.int16)
+    for i, word in enumerate(a):
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (b == word)))
+    pairs, i, j = [(n, m)], n, m
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif table[i - 1, j] >= table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    left, right, equal, i, j = [], [], [], 0, 0
+    for p, q in pairs[::-1]:
+        wide = max(p - i, q - j)
+        left += [min(i + k, p) for k in range(wide)]
+        right += [min(j + k, q) for k in range(wide)]
+        equal += [False] * wide
+        if (p, q) != (n, m):
+            left.append(p)
+            right.append(q)
+            equal.append(True)
+        i, j = p + 1, q + 1
+    return x + np.array(left, np.int64), y + np.array(right, np.int64), np.array(equal, bool)
+
+
+def columns(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, equal, of a seed) of each column of the alignment along a chain with seeds at x and y.
+
+    Seeds on one diagonal are compared on it, what lies between two diagonals is aligned, and both ends go on along
+    their diagonal as far as a and b reach. The places have one more entry, behind the last column.
     """
-    a0, a1, b0, b1 = int(x[0]), int(x[-1]) + K, int(y[0]), int(y[-1]) + K
-    if a1 - a0 == b1 - b0 and (a[a0:a1] == b[b0:b1]).all():
-        equal = a1 - a0
-    else:
-        equal, i, j = K, a0 + K, b0 + K
-        for p, q in zip(x[1:].tolist(), y[1:].tolist(), strict=True):
-            if p > i and q > j:
-                equal += _gap_equal(a[i:p], b[j:q])
-            new = min(K, p + K - i, q + K - j)
-            equal += new
-            i, j = p + K, q + K
-    n = min(a0, b0)
-    back = _grown(a[a0 - n:a0][::-1] == b[b0 - n:b0][::-1])
-    m = min(len(a) - a1, len(b) - b1)
-    on = _grown(a[a1:a1 + m] == b[b1:b1 + m])
-    equal += int((a[a0 - back:a0] == b[b0 - back:b0]).sum() + (a[a1:a1 + on] == b[b1:b1 + on]).sum())
-    return a0 - back, a1 + on, b0 - back, b1 + on, equal
+    turns = np.flatnonzero(np.diff(x - y)) + 1
+    n = min(int(x[0]), int(y[0]))
+    i, j = int(x[0]) - n, int(y[0]) - n
+    parts = [(i + np.arange(n), j + np.arange(n), a[i:i + n] == b[j:j + n], np.zeros(n, bool))]
+    i, j = i + n, j + n
+    for begin, end in zip([0, *turns.tolist()], [*turns.tolist(), len(x)], strict=True):
+        p, q, size = int(x[begin]), int(y[begin]), int(x[end - 1] - x[begin]) + RUN
+        late = max(i - p, j - q, 0)  # the seed overlaps what stands before it
+        if late >= size:
+            continue
+        p, q, size = p + late, q + late, size - late
+        if p > i or q > j:
+            gap = _between(a[i:p], b[j:q], i, j)
+            parts.append((*gap, np.zeros(len(gap[0]), bool)))
+        seed = np.zeros(size, bool)
+        for at in (x[begin:end] - p).tolist():
+            seed[max(at, 0):max(at + RUN, 0)] = True
+        parts.append((p + np.arange(size), q + np.arange(size), a[p:p + size] == b[q:q + size], seed))
+        i, j = p + size, q + size
+    m = min(len(a) - i, len(b) - j)
+    parts.append((i + np.arange(m + 1), j + np.arange(m + 1), np.append(a[i:i + m] == b[j:j + m], False), np.zeros(m + 1, bool)))
+    left, right, equal, seed = (np.concatenate(part) for part in zip(*parts, strict=True))
+    return left, right, equal[:-1], seed[:-1]
+
+
+def stretches(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(begin in a, end, begin in b, end, equal words) of the stretches of a chain of which EQUAL is equal.
+
+    That is the whole chain if it holds, else the longest stretch of its alignment, then the longest on each side of
+    that, and so on; so text between two passages does not take them along. Ends beyond the seeds are left out as far
+    as they hold less than two equal words of three, unless the stretch needs them to be a passage.
+    """
+    left, right, equal, seed = columns(a, b, x, y)
+
+    def tight(begin: int, end: int) -> tuple[int, int]:
+        held = np.flatnonzero(seed[begin:end])
+        if not len(held):
+            return begin, end
+        low, high = begin + int(held[0]), begin + int(held[-1]) + 1
+        return low - _grown(equal[begin:low][::-1]), high + _grown(equal[high:end])
+
+    def measured(begin: int, end: int) -> tuple[int, int, int, int, int]:
+        return int(left[begin]), int(left[end]), int(right[begin]), int(right[end]), int(equal[begin:end].sum())
+
+    a0, a1, b0, b1, n = whole = measured(*tight(0, len(equal)))
+    holds = a1 - a0 >= STRETCH and n >= EQUAL * max(a1 - a0, b1 - b0)
+    if holds and a1 - a0 >= PASSAGE:
+        return [whole]
+    out, open_parts = [], [(0, len(equal))]
+    while open_parts:
+        begin, end = open_parts.pop()
+        if (span := overlap(equal[begin:end], STRETCH, EQUAL)) is None:
+            continue
+        wide = begin + span[0], begin + span[1]
+        low, high = tight(*wide)
+        if left[high] - left[low] < PASSAGE <= left[wide[1]] - left[wide[0]]:
+            low, high = wide
+        a0, a1, b0, b1, n = found = measured(low, high)
+        if a1 - a0 >= STRETCH and n >= EQUAL * max(a1 - a0, b1 - b0):
+            out.append(found)
+        open_parts += [(begin, low), (high, end)]
+    if holds and all(a1 - a0 < PASSAGE for a0, a1, *_ in out):
+        return [whole]
+    return out
 
 
 def long_cover(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -252,11 +331,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 a, b, x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.array(x) - a_start, np.array(y) - b_start
                 if len(a) < x[-1] + K or len(b) < y[-1] + K:  # of another text with this doc_id
                     continue
-                a0, a1, b0, b1, equal = aligned(a, b, x, y)
-                if a1 - a0 >= STRETCH and equal >= EQUAL * max(a1 - a0, b1 - b0):
-                    found.append((doc, a0 + a_start, a1 - a0, other, b0 + b_start, equal))
-            columns = [*zip(*found, strict=True)] if found else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                found += [(doc, a0 + a_start, a1 - a0, other, b0 + b_start, equal) for a0, a1, b0, b1, equal in stretches(a, b, x, y)]
+            held = [*zip(*found, strict=True)] if found else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names)
 
     names = ["doc_id", "first_word", "n_words", "other_id", "other_first_word", "n_equal"]
     kind = ", ".join(f"{name} long" for name in names)

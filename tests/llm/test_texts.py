@@ -129,6 +129,36 @@ def test_passages_are_found_and_cut(spark, documents):
     assert passages.repeated_passages(documents([])).collect() == []
 
 
+def test_passages_of_one_chain_are_split(spark, documents):
+    one, two = prose(201, 100), prose(202, 100)
+    rows = [(1, " ".join(one + prose(203, 60) + two)), (2, " ".join(prose(204, 30) + one + prose(205, 60) + two)),  # other text between
+            (3, " ".join(prose(206, 200))), (4, " ".join(prose(206, 200)[:100] + prose(207, 100) + prose(206, 200)[100:]))]  # an insertion
+    covered = {}
+    for row in passages.repeated_passages(documents(rows)).collect():
+        assert row.n_equal >= 0.8 * row.n_words
+        covered.setdefault(row.doc_id, set()).update(range(row.first_word, row.first_word + row.n_words))
+    assert set(covered) == {2, 4}
+    for doc, shared in ((2, {*range(30, 130), *range(190, 290)}), (4, {*range(100), *range(200, 300)})):
+        assert len(shared - covered[doc]) <= 4 and len(covered[doc] - shared) <= 12
+
+
+def test_stretches_find_the_longest(spark):
+    rng = random.Random(5)
+    for _ in range(150):
+        equal = np.array([rng.random() < rng.choice((0.1, 0.8, 0.95)) for _ in range(rng.randint(60, 160))])
+        at = rng.randrange(len(equal) - passages.K)
+        equal[at:at + passages.K] = True
+        a = np.arange(len(equal), dtype=np.uint32) + 1
+        b = np.where(equal, a, 0).astype(np.uint32)
+        found = passages.stretches(a, b, np.array([at]), np.array([at]))
+        total = np.append(0, np.cumsum(equal))
+        best = max((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1)
+                    if equal[i] and equal[j - 1] and total[j] - total[i] >= 0.8 * (j - i)), default=0)
+        longest = max((a1 - a0 for a0, a1, *_ in found), default=0)
+        assert (longest >= passages.PASSAGE) == (best >= passages.PASSAGE)
+        assert all(a1 - a0 >= passages.STRETCH and n >= 0.8 * max(a1 - a0, b1 - b0) for a0, a1, b0, b1, n in found)
+
+
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=14, unique=True))
 def test_best_chain_equals_quadratic(matches):
