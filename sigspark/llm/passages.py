@@ -1,7 +1,7 @@
 """Substring dedup: passages that stand in more than one place, small changes included.
 
-Seeds are hashes of K words, of which the least in every window of WINDOW places are kept, so two equal stretches of
-K + WINDOW - 1 words share a seed. Each seed is tied to its owner, the smallest doc_id that has it, and not to all
+Seeds are hashes of K words of a mask at every place, so that a passage with every fifth word replaced still shares
+some. They move packed, many in a row. Each seed is tied to its owner, the smallest doc_id that has it, and not to all
 documents that have it, so a passage of any frequency costs a pair for each place. The matches of a document with an
 owner are chained in order of both texts, gaps at a cost, by a Fenwick tree; the words of a chain are aligned and cut
 into stretches that are equal enough, and what these cover together counts as repeated if it is long enough.
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,41 +22,67 @@ from sigspark.llm import words
 from sigspark.llm.common import sorted_runs, written
 from sigspark.llm.decontam import overlap
 
-#: Words of a seed, places of a window, cost of a word between two seeds (on either side), words beside a chain that
-#: are tried.
-K, WINDOW, GAP, MARGIN = 6, 16, 0.15, 24
+#: Places of a seed, of which the ones are compared.
+MASK = "1111011"
+_KEPT = [i for i, kept in enumerate(MASK) if kept == "1"]
+#: Words of a seed, cost of a word between two seeds (on either side), words beside a chain that are tried at first.
+K, GAP, MARGIN = len(_KEPT), 0.15, 64
+#: Places of a run of seeds of which one is chained; bits of the share of a seed or document; bytes of text sown at once.
+THIN, SHARES, SOWN = 8, 11, 1 << 23
+#: Bits of a seed that move with it; with those of its share it has 59.
+LOW = np.uint64((1 << 48) - 1)
 #: Words of a repeated passage, of one aligned stretch in it, words between two stretches, least share of equal words.
 PASSAGE, STRETCH, BETWEEN, EQUAL = 50, 12, 6, 0.8
 #: Equal words that every seed begins with; words of a stretch between two diagonals that is aligned in full.
-RUN, LONG = K, 200
-
-
-def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """best over each run of `width` values."""
-    out, reach = values, 1
-    while reach < width:
-        step = min(reach, width - reach)
-        out = best(out[:-step], out[step:])
-        reach += step
-    return out
+RUN, LONG = MASK.index("0"), 200
 
 
 def seeds(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, seed) of the kept seeds of all texts; a window lies within one text."""
-    whole = K + WINDOW - 1
-    if len(hashes) < whole:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = words.shingles(hashes, K)
-    least = _sliding(grams, WINDOW, np.minimum)
-    least = np.where(words.within(first, whole, len(hashes)), least, np.uint64(0))
-    padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
-    kept = np.flatnonzero(_sliding(padded, WINDOW, np.maximum) == grams)
-    # of equal seeds side by side, as in a repeated word, one for each stretch is enough
-    fresh = np.ones(len(kept), bool)
-    fresh[1:] = (np.diff(kept) > 1) | (grams[kept[1:]] != grams[kept[:-1]])
-    run = np.arange(len(kept)) - np.maximum.accumulate(np.where(fresh, np.arange(len(kept)), 0))
-    kept = kept[run % K == 0]
-    return kept, grams[kept]
+    """(place, seed) of all places of all texts from which a seed lies within one text."""
+    n = max(len(hashes) - len(MASK) + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for at in _KEPT:
+        out = (out ^ hashes[at:at + n]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    place = np.flatnonzero(words.within(first, len(MASK), len(hashes)))
+    return place, words.mix(out[place])
+
+
+def met(seed: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, other, place, place in other) of the matches of seeds: the first place in each text with the owner of the
+    seed, every further place with the first one of the same text."""
+    order = np.argsort(seed)
+    same = seed[order][1:] == seed[order][:-1]
+    order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    order = order[np.lexsort((place[order], row[order], doc[order], seed[order]))]
+    seed, doc, row, place = seed[order], doc[order], row[order], place[order]
+    fresh = np.ones(len(seed), bool)
+    fresh[1:] = seed[1:] != seed[:-1]
+    head = fresh.copy()
+    head[1:] |= (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])
+    spread = lambda marks: np.maximum.accumulate(np.where(marks, np.arange(len(marks)), 0))
+    target = np.where(head, spread(fresh), spread(head)) if len(seed) else order
+    keep = ~head | (doc != doc[target])
+    return doc[keep], doc[target][keep], place[keep], place[target][keep]
+
+
+def thinned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Marks the matches that are enough for chains: of equal seeds side by side, as in a repeated word, one for each K
+    places; of a run on one diagonal the first, the last and one for each THIN places."""
+    out = np.ones(len(x), bool)
+    for line, at, ends in ((y, x, False), (x - y, x, True)):
+        left = np.flatnonzero(out)
+        order = left[np.lexsort((at[left], line[left]))]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(line[order]) != 0) | (np.diff(at[order]) > (K if ends else 1))
+        begin = at[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        step = (at[order] - begin) // (THIN if ends else K)
+        keep = fresh.copy()
+        keep[1:] |= np.diff(step) != 0
+        if ends:
+            keep |= np.append(fresh[1:], True)
+        out[order] = keep
+    return out
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -237,6 +265,37 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[order][first], np.maximum.reduceat(end[order], first)
 
 
+def _packed(share: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each share: the entries of each column as differences, their bytes by significance, compressed."""
+    codec, order = pa.Codec("zstd", compression_level=1), np.argsort(share, kind="stable")
+    share = share[order].astype(np.int64)
+    cuts = np.flatnonzero(np.diff(share)) + 1
+    begin, end = np.append(0, cuts)[:len(share)], np.append(cuts, len(share))[:len(share)]
+    planes = []
+    for column in columns:
+        flat = column[order]
+        steps = np.diff(flat, prepend=flat[:1])
+        steps[begin] = flat[begin]
+        planes.append(steps.view(np.uint8).reshape(len(steps), -1))
+    planes = np.concatenate(planes, axis=1)
+    data = [codec.compress(planes[i:j].T.tobytes(), asbytes=True) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(share[begin]), pa.array(end - begin, pa.int64()), pa.array(data, pa.binary())], ["share", "n", "data"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[np.ndarray]]:
+    """The columns of each share, for packed rows that are sorted by it."""
+    codec, sizes = pa.Codec("zstd"), [np.dtype(kind).itemsize for kind in kinds]
+    for _, counts, data in sorted_runs(batches):
+        parts: list[list[np.ndarray]] = [[] for _ in kinds]
+        for n, packed in zip(counts.tolist(), data, strict=True):
+            flat = np.frombuffer(codec.decompress(packed, n * sum(sizes), asbytes=True), np.uint8).reshape(sum(sizes), n)
+            at = 0
+            for part, kind, size in zip(parts, kinds, sizes, strict=True):
+                part.append(np.cumsum(np.ascontiguousarray(flat[at:at + size].T).view(kind).ravel(), dtype=kind))
+                at += size
+        yield [np.concatenate(part) for part in parts]
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cover: bool = False) -> DataFrame:
     """(doc_id, first_word, n_words, other_id, other_first_word, n_equal) of every repeated stretch.
 
@@ -250,41 +309,46 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40  # tells apart the texts of a doc_id that is repeated
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                some = batch.slice(begin, 1000)
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(size // SOWN)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                some = batch.slice(begin, end - begin)
                 hashes, first = words.word_hashes(some.column(1))
                 place, seed = seeds(hashes, first)
                 doc = np.searchsorted(first, place, "right") - 1
-                place = place - first[doc]
-                order = np.lexsort((place, seed, doc))  # equal seeds of a text behind each other, the first ahead
-                place, seed, doc = place[order], seed[order], doc[order]
-                head = np.ones(len(seed), bool)
-                head[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
-                origin = place[np.maximum.accumulate(np.where(head, np.arange(len(seed)), 0))] if len(seed) else place
                 ids = some.column(0).to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed.view(np.int64)), pa.array(ids, pa.int64()), pa.array(place.astype(np.int32)),
-                     pa.array(np.where(head, -1, origin).astype(np.int32))], ["seed", "doc_id", "place", "origin"])
+                yield _packed(seed >> np.uint64(64 - SHARES), [(seed & LOW).view(np.int64), ids, number + doc, (place - first[doc]).astype(np.int32)])
+                number += some.num_rows
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seed, doc, row, place in _unpacked(batches, (np.int64, np.int64, np.int64, np.int32)):
+            doc, other, place, other_place = met(seed, doc, row, place)
+            share = words.mix(doc.view(np.uint64)) >> np.uint64(64 - SHARES)
+            for begin in range(0, len(doc), 1 << 20):
+                part = slice(begin, begin + (1 << 20))
+                yield _packed(share[part], [doc[part], other[part], place[part], other_place[part]])
 
-    sown = written(rows.mapInArrow(sow, "seed long, doc_id long, place int, origin int"), "seeds")
-    first = sown.where("origin < 0").select("seed", "doc_id", "place")
-    owners = first.groupBy("seed").agg(F.min("doc_id").alias("other_id"), F.min_by("place", "doc_id").alias("other_place"))
-    matches = (first.join(owners, "seed").where("doc_id <> other_id").select("doc_id", "other_id", "place", "other_place")
-               .union(sown.where("origin >= 0").select("doc_id", F.col("doc_id"), "place", F.col("origin"))))
+    packed = "share long, n long, data binary"
+    sown = rows.mapInArrow(sow, packed).repartition("share").sortWithinPartitions("share")
+    matches = sown.mapInArrow(meet, packed).repartition("share").sortWithinPartitions("share")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for ids, others, place, other_place in sorted_runs(batches):
-            order = np.lexsort((other_place, place, others))
-            others, place, other_place = others[order], place[order], other_place[order]
-            cuts = np.flatnonzero(np.diff(others)) + 1
+        for ids, others, place, other_place in _unpacked(batches, (np.int64, np.int64, np.int32, np.int32)):
+            order = np.lexsort((other_place, place, others, ids))
+            ids, others, place, other_place = ids[order], others[order], place[order], other_place[order]
+            cuts = np.flatnonzero((np.diff(others) != 0) | (np.diff(ids) != 0)) + 1
             for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(others)], strict=True):
                 x, y = place[begin:end], other_place[begin:end]
-                out += [(int(ids[0]), int(others[begin]), x[found], y[found]) for found in chains(x, y)]
-            if len(out) >= 2000:
-                yield _batch(out)
-                out = []
+                if end - begin > 1:
+                    enough = thinned(x, y)
+                    x, y = x[enough], y[enough]
+                out += [(int(ids[begin]), int(others[begin]), x[found], y[found]) for found in chains(x, y)]
+                if len(out) >= 2000:
+                    yield _batch(out)
+                    out = []
         if out:
             yield _batch(out)
 
@@ -294,7 +358,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())),
              pa.array(columns[3], pa.list_(pa.int32()))], ["doc_id", "other_id", "x", "y"])
 
-    matches = matches.repartition("doc_id").sortWithinPartitions("doc_id")
     chained = written(matches.mapInArrow(chain, "doc_id long, other_id long, x array<int>, y array<int>"), "chains")
     sides = chained.select(F.xxhash64("doc_id", "other_id", F.col("x")[0], F.col("y")[0]).alias("chain"), "doc_id", "other_id", "x", "y")
     wanted = sides.select("chain", F.col("doc_id").alias("of"), F.lit(0).alias("side"), "x").union(

@@ -159,6 +159,37 @@ def test_stretches_find_the_longest(spark):
         assert all(a1 - a0 >= passages.STRETCH and n >= 0.8 * max(a1 - a0, b1 - b0) for a0, a1, b0, b1, n in found)
 
 
+def test_passages_with_a_fifth_of_the_words_replaced(spark, documents):
+    rng, rows = random.Random(11), []
+    for i in range(60):
+        own = prose(300 + i, 50)
+        places = set(rng.sample(range(1, 49), 10)) if i > 1 else set(range(4, 50, 5 + i)) - {49}
+        other = [w if j not in places else f"x{i}y{j}" for j, w in enumerate(own)]
+        rows += [(i, " ".join(prose(400 + i, 40) + own + prose(500 + i, 30))), (100 + i, " ".join(prose(600 + i, 20) + other + prose(700 + i, 30)))]
+    far = prose(801, 300)
+    rows += [(90, " ".join(far)), (190, " ".join(far[:120] + prose(802, 5) + far[125:]))]
+    covered = {}
+    for row in passages.repeated_passages(documents(rows)).collect():
+        covered.setdefault(row.doc_id, set()).update(range(row.first_word, row.first_word + row.n_words))
+    assert all(len(covered.get(100 + i, set()) & set(range(20, 70))) >= 45 for i in range(60))
+    assert covered[190] >= set(range(300))
+
+
+def test_matches_of_seeds_equal_all_places():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 60):
+        seed, doc, place = rng.integers(0, 8, n).astype(np.uint64), rng.integers(0, 5, n), np.arange(n)
+        row = doc * 2 + rng.integers(0, 2, n)
+        found, want = sorted(zip(*(c.tolist() for c in passages.met(seed, doc, row, place)), strict=True)), []
+        for i in range(n):
+            same = [j for j in range(n) if seed[j] == seed[i]]
+            own, owner = min(j for j in same if row[j] == row[i]), min(same, key=lambda j: (doc[j], row[j], j))
+            if own != i or doc[owner] != doc[i]:
+                other = owner if own == i else own
+                want.append((doc[i], doc[other], place[i], place[other]))
+        assert found == sorted(want)
+
+
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=14, unique=True))
 def test_best_chain_equals_quadratic(matches):
