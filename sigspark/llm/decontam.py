@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask keeps some of the words of a window and ignores the others, so that a hash of the kept words still meets
-when ignored words were replaced. Hashes of the benchmark and of the documents are joined; every hit is a
+when ignored words were replaced. The masks are such that one of them fits into every overlap, wherever its replaced
+words stand. Hashes of the benchmark and of the documents are joined; every hit is a
 diagonal on which benchmark item and document are compared word by word, replaced words included.
 """
 
@@ -16,14 +17,29 @@ from pyspark.sql import functions as F
 
 from sigspark.llm import words
 
-#: Fixed masks over eleven words, each with seven kept; they ignore different places.
-MASKS = ("11101010011", "11010111001", "11001101101")
 #: Words that an overlap must span, and the share of them that must be equal.
 OVERLAP, EQUAL = 13, 0.8
 #: Seeds of the benchmark that are held at once; a larger benchmark is passed in slices of that size.
 SLICE = 1 << 20
 
 
+def masks(least: int, share: float) -> tuple[str, ...]:
+    """Masks of which one fits into every overlap of at least `least` words with `share` of them equal.
+
+    With r words replaced, the n - r others stand in r + 1 runs at most, so one has (n - r) / (r + 1) words or more,
+    rounded up. Let g be the least of these over all n. Where it is g only if all runs have exactly g words, two
+    such runs with a word between fit or a run has g + 1.
+    """
+    runs = []
+    for n in range(least, least + 64 * (int(1 / max(1 - share, 1e-2)) + 1)):  # from there on it doesn't fall again
+        r = int((1 - share) * n + 1e-6)
+        runs.append((-(-(n - r) // (r + 1)), r, n - r))
+    g = max(min(run for run, _, _ in runs), 1)
+    if all(r and equal == g * (r + 1) for run, r, equal in runs if run <= g):
+        return "1" * (g + 1), "1" * g + "0" + "1" * g
+    return ("1" * g,)
+
+
 def _kept(mask: str) -> np.ndarray:
     return np.flatnonzero(np.frombuffer(mask.encode(), np.uint8) == ord("1"))
 
@@ -58,10 +74,10 @@ def overlap(equal: np.ndarray, least: int, share: float) -> tuple[int, int] | No
 class Items:
     """Word hashes of benchmark items and a table from seeds to (item, place)."""
 
-    def __init__(self, ids: list[int], texts: list[str], seeds_held: int) -> None:
+    def __init__(self, ids: list[int], texts: list[str], kinds: tuple[str, ...]) -> None:
         hashes, first = words.word_hashes(pa.array(texts, pa.string()))
         self.ids, self.words = ids, [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        found = [(seeds(own, mask, m), i) for i, own in enumerate(self.words) for m, mask in enumerate(MASKS)]
+        found = [(seeds(own, mask, m), i) for i, own in enumerate(self.words) for m, mask in enumerate(kinds)]
         keys = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
         owner = np.concatenate([np.full(len(x), i) for x, i in found]) if found else np.zeros(0, int)
         place = np.concatenate([np.arange(len(x)) for x, _ in found]) if found else np.zeros(0, int)
@@ -79,7 +95,7 @@ class Items:
         return np.repeat(maybe, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
+def _slices(benchmark: DataFrame, item_id: str, text: str, kinds: tuple[str, ...]) -> Iterator[Items]:
     """The items in slices of about SLICE seeds, streamed to the driver one after the other."""
     ids, texts, held = [], [], 0
     rows = benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string")).where(
@@ -87,12 +103,12 @@ def _slices(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
     for row in rows.toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
-        held += len(MASKS) * (row[1].count(" ") + 1)
+        held += len(kinds) * (row[1].count(" ") + 1)
         if held >= SLICE:
-            yield Items(ids, texts, held)
+            yield Items(ids, texts, kinds)
             ids, texts, held = [], [], 0
     if ids:
-        yield Items(ids, texts, held)
+        yield Items(ids, texts, kinds)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = OVERLAP, share: float = EQUAL, doc_id: str = "doc_id",
@@ -106,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = OVERLAP, sh
     doesn't depend on its size. No documents move.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spark, out = docs.sparkSession, None
+    spark, out, kinds = docs.sparkSession, None, masks(least, share)
     kind = "doc_id long, item_id long, first_word int, n_words int, n_equal int, item_first_word int"
     names = [part.split()[0] for part in kind.split(", ")]
 
@@ -119,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = OVERLAP, sh
                     some = batch.slice(begin, 500)
                     hashes, first = words.word_hashes(some.column(1))
                     ids, diagonals = some.column(0).to_pylist(), set()
-                    for m, mask in enumerate(MASKS):
+                    for m, mask in enumerate(kinds):
                         at, place = items.hits(seeds(hashes, mask, m))
                         doc = np.searchsorted(first, at, "right") - 1
                         inside = at + len(mask) <= first[doc + 1]
@@ -141,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = OVERLAP, sh
                     [pa.array(c, pa.int64() if j < 2 else pa.int32()) for j, c in enumerate(columns)], names)
         return find
 
-    for items in _slices(benchmark, item_id, item_text):
+    for items in _slices(benchmark, item_id, item_text, kinds):
         found = docs.mapInArrow(finder(spark.sparkContext.broadcast(items)), kind)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], kind) if out is None else out

@@ -1,5 +1,6 @@
 """Near duplicates, passages, decontamination, quality: against plain versions on small tables."""
 
+import itertools
 import random
 
 import numpy as np
@@ -230,6 +231,23 @@ def test_benchmark_overlaps(spark, documents):
     assert decontam.contaminated(documents([]), bench).collect() == []
 
 
+@pytest.mark.parametrize(("least", "share", "sizes"), [(13, 0.8, (13, 14, 15, 16, 17, 20)), (8, 0.75, (8, 9, 12, 16)), (6, 1.0, (6, 7)), (5, 0.5, (5, 8))])
+def test_a_mask_fits_every_overlap(least, share, sizes):
+    kept = [[i for i, c in enumerate(mask) if c == "1"] for mask in decontam.masks(least, share)]
+    for n in sizes:
+        for replaced in itertools.combinations(range(1, n - 1), int((1 - share) * n + 1e-6)):
+            assert any(not {at + i for i in places} & set(replaced) for places in kept for at in range(n - places[-1])), (n, replaced)
+
+
+def test_benchmark_overlaps_equal_all_diagonals(spark, documents):
+    item, rows = prose(41, 25), []
+    for n, r in ((13, 2), (15, 3), (16, 3)):
+        for replaced in itertools.combinations(range(1, n - 1), r):
+            rows.append((len(rows), " ".join(["aa"] * 3 + ["zz" if j in replaced else item[4 + j] for j in range(n)] + ["bb"])))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(documents(rows), bench).collect()} == set(range(len(rows)))
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.booleans(), max_size=40), st.integers(2, 10))
 def test_longest_overlap_equals_all_stretches(equal, least):
