@@ -4,7 +4,7 @@ A line meets a statement if it contains at least `share` of its distinct words.
 frequency in all texts, rare ones first; a line that meets a statement holds one of its first
 size - needed + 1 words (prefix filter), has at least `needed` distinct words (length filter), and has enough words
 left behind the first common one (positional filter). What is left is compared in full. All steps are DataFrame
-operations.
+operations. A statement that is wrapped is met in the same way by windows of its length over the words of a paragraph.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ STATEMENTS = (
 )
 #: Share of the distinct words of a statement that a line must contain.
 SHARE = 0.9
+#: Foreign words in a statement that is wrapped, such as the marks of comment lines.
+FOREIGN = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,10 +96,16 @@ def containing_lines(docs: DataFrame, statements: tuple = STATEMENTS, share: flo
                      text: str = "text") -> DataFrame:
     """(doc_id, line, label, containment) of every line and statement that meet; lines count from 0.
 
+    So do statements that go over several lines without a blank one in between, if a window of up to their length and
+    FOREIGN more words, which begins and ends as they do, contains enough of them; line is null then.
+
     The statements are a parameter of bounded size, so their words go to all tasks; texts do not move.
     """
     spark = docs.sparkSession
     sets = [(i, label, sorted(set(text.split())), len(set(text.split()))) for i, (text, label) in enumerate(statements)]
+    reach = [len(text.split()) + FOREIGN for text, _ in statements]
+    spare = [size - ceil(share * size - 1e-9) + 1 for *_, size in sets]
+    ends = [(text.split()[:n], text.split()[-n:]) for (text, _), n in zip(statements, spare, strict=True)]
     vocabulary = sorted({word for _, _, words, _ in sets for word in words})
     counts = {row["word"]: row["n"] for row in docs.select(F.explode(word_list(lowered(plain(text)))).alias("word"))
               .where(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count("*").alias("n")).collect()}
@@ -107,14 +115,14 @@ def containing_lines(docs: DataFrame, statements: tuple = STATEMENTS, share: flo
         needs[number] = ceil(share * size - 1e-9)
         ordered = sorted(words, key=rank.get)
         for at, word in enumerate(ordered[:size - needs[number] + 1]):
-            prefix.append((word, number, label, at, size, needs[number], ordered))
+            prefix.append((word, number, label, at, size, needs[number], ordered, reach[number], *ends[number]))
     starts = F.broadcast(spark.createDataFrame(
-        prefix, "word string, statement int, label string, at int, size int, needed int, words array<string>"))
+        prefix, "word string, statement int, label string, at int, size int, needed int, words array<string>, reach int, heads array<string>, tails array<string>"))
     words = sorted({row[0] for row in prefix})
     rare, any_rare = F.array(*map(F.lit, words)), _whole(words)  # a search before any word is listed
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    lines = (docs.where(plain(text).rlike(any_rare))
-             .select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(lowered(plain(text)), "\n")).alias("line", "content"))
+    some = docs.where(plain(text).rlike(any_rare))
+    lines = (some.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(lowered(plain(text)), "\n")).alias("line", "content"))
              .where(F.col("content").rlike(any_rare)).select("doc_id", "line", F.array_distinct(word_list(F.col("content"))).alias("own"))
              .where(F.arrays_overlap("own", rare)))
     # the line's words that any statement has, in the global order
@@ -128,8 +136,31 @@ def containing_lines(docs: DataFrame, statements: tuple = STATEMENTS, share: flo
     first = F.get(F.array_intersect("words", "known"), F.lit(0)) == F.col("word")
     left = F.least(F.col("size") - F.col("at"), F.size("known") - F.col("place"))
     both = F.size(F.array_intersect("known", "words"))
-    return (hits.where(first & (left >= F.col("needed"))).where(both >= F.col("needed"))
-            .select("doc_id", "line", "label", (both / F.col("size")).alias("containment")))
+    found = (hits.where(first & (left >= F.col("needed"))).where(both >= F.col("needed"))
+             .select("doc_id", "line", "label", (both / F.col("size")).alias("containment")))
+    return found.union(_wrapped(some, starts, words, any_rare, max(reach, default=1), doc_id, text))
+
+
+def _wrapped(docs: DataFrame, starts: DataFrame, rare: list[str], any_rare: str, most: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, null, label, containment) of the statements that a window over the words of a paragraph contains."""
+    parts = (docs.where(F.instr(plain(text), "\n") > 0)
+             .select(F.col(doc_id).alias("doc_id"), F.explode(F.split(lowered(plain(text)), r"\n[ \t\r]*\n")).alias("content"))
+             .where((F.instr("content", "\n") > 0) & F.col("content").rlike(any_rare)).select("doc_id", word_list(F.col("content")).alias("own")))
+    listed = F.array(*map(F.lit, rare))
+    places = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.array_contains(listed, F.get("own", i)))
+    # the words around each rare word, so that no window is cut from a long text
+    begin = lambda i: F.greatest(i - (most - 1), F.lit(0))
+    near = F.transform(places, lambda i: F.struct(
+        F.get("own", i).alias("word"), (i - begin(i)).alias("at"), F.slice("own", begin(i) + 1, F.lit(2 * most - 1)).alias("near")))
+    hits = (parts.where(F.size("own") > 0).select("doc_id", F.explode(near).alias("x")).select("doc_id", "x.*").join(starts.drop("at"), "word")
+            .where(F.size(F.array_intersect("near", "words")) >= F.col("needed")))
+    # a window begins and ends as the statement does, but for as many words as may be missing
+    begins = F.filter(F.sequence(F.greatest(F.col("at") - F.col("reach") + 1, F.lit(0)), F.col("at")), lambda i: F.array_contains("heads", F.get("near", i)))
+    sizes = F.sequence(F.col("needed"), F.col("reach"))
+    held = lambda i, n: F.when(F.array_contains("tails", F.get("near", i + n - 1)), F.size(F.array_intersect(F.slice("near", i + 1, n), "words")))
+    both = F.array_max(F.flatten(F.transform(begins, lambda i: F.transform(sizes, lambda n: held(i, n)))))
+    return hits.withColumn("both", both).where("both >= needed").select(
+        "doc_id", F.lit(None).cast("int").alias("line"), "label", (F.col("both") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -151,6 +151,18 @@ def test_snapshots_collapse(spark):
     assert chat.formatted(frame.limit(0)).collect() == []
 
 
+def test_wrapped_statements_are_met(spark, documents):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files, to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    gpl = " * Licensed under the GNU General\n * Public License,\n * version 3 or later"
+    apache = "REM Licensed under the\r\nREM Apache License, Version 2.0"
+    far = "licensed under the " + "other words " * 5 + "\nmit license"
+    rows = [(1, "x " * 3000 + "\n" + mit), (2, bsd), (3, gpl), (4, apache), (5, mit.replace("\n", "\n \n")), (6, far), (7, "some words\n\n" + bsd)]
+    found = {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
+    assert {i: r.labels for i, r in found.items()} == {1: "mit", 2: "bsd", 3: "gpl,gpl-3", 4: "apache-2.0", 5: "", 6: "", 7: "bsd"}
+    assert found[1].score == found[2].score == found[4].score == 1.0 and found[5].score == 0.0
+
+
 def test_statements_equal_plain_containment(spark, documents):
     lines = [text for text, _ in licenses.STATEMENTS] + ["Licensed UNDER cc-by-nc 4.0", "All, rights\nreserved.", "cc By and CC  by", "general public license",
              "the mit license released under", "released under the mit", "mit mit mit mit mit", "K license", ""]
