@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import ann, chat, decontam, extraction, licenses, neardup, passages, pieces, quality, tokenfile
+from sigspark.llm import ann, centroids, chat, decontam, extraction, licenses, neardup, passages, pieces, quality, repair, tokenfile
 from sigspark.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return extraction.extract(pages, extraction.fit(pages))
+
+
+@query("op11_conversation_repair", repair.SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_centroids", centroids.SQL)
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
