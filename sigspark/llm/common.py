@@ -92,3 +92,30 @@ def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
             held.append(part)
     if held:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def packed(key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row (key, n, data) for each key: the entries of each column as differences, their bytes by significance, compressed."""
+    codec, order = pa.Codec("zstd", compression_level=1), np.argsort(key, kind="stable")
+    key = key[order].astype(np.int64)
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    begin, end = np.append(0, cuts)[:len(key)], np.append(cuts, len(key))[:len(key)]
+    planes = []
+    for column in columns:
+        flat = column[order]
+        steps = np.diff(flat, prepend=flat[:1])
+        steps[begin] = flat[begin]
+        planes.append(steps.view(np.uint8).reshape(len(steps), -1))
+    planes = np.concatenate(planes, axis=1)
+    data = [codec.compress(planes[i:j].T.tobytes(), asbytes=True) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.array(end - begin, pa.int64()), pa.array(data, pa.binary())], ["key", "n", "data"])
+
+
+def unpacked(n: int, data: bytes, kinds: tuple) -> list[np.ndarray]:
+    """The columns of one packed row."""
+    sizes, out, at = [np.dtype(kind).itemsize for kind in kinds], [], 0
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data, n * sum(sizes), asbytes=True), np.uint8).reshape(sum(sizes), n)
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.cumsum(np.ascontiguousarray(flat[at:at + size].T).view(kind).ravel(), dtype=kind))
+        at += size
+    return out
