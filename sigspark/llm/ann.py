@@ -59,20 +59,21 @@ def moves(place: np.ndarray, probes: int) -> np.ndarray:
     inside = place - np.floor(place)
     cost = np.concatenate([inside ** 2, (1 - inside) ** 2])
     order = np.argsort(cost, kind="stable")
-    sums, k = cost[order].tolist(), len(place)
+    costs, k = cost[order].tolist(), len(place)
     axis, step = (order % k).tolist(), np.where(order < k, -1, 1).tolist()
     out = np.zeros((probes, k), np.int64)
-    heap, found = [(sums[0], (0,))], 1
+    total = lambda chosen: sum(sorted(costs[i] for i in chosen))  # noqa: E731  (equal sets of costs give equal sums)
+    heap, found = [(costs[0], (0,))], 1
     while heap and found < probes:
-        total, chosen = heapq.heappop(heap)
+        _, chosen = heapq.heappop(heap)
         if len({axis[i] for i in chosen}) == len(chosen):
             for i in chosen:
                 out[found, axis[i]] = step[i]
             found += 1
         last = chosen[-1]
-        if last + 1 < len(sums):
-            heapq.heappush(heap, (total - sums[last] + sums[last + 1], (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (total + sums[last + 1], (*chosen, last + 1)))
+        if last + 1 < len(costs):
+            for after in ((*chosen[:-1], last + 1), (*chosen, last + 1)):
+                heapq.heappush(heap, (total(after), after))
     return out[:found]
 
 

@@ -32,7 +32,7 @@ BITS, PROBES = 12, 8
 #: Largest filter that is broadcast; words that can be frequent enough to be broadcast with their counts.
 FILTER_BYTES, HOT = 128 << 20, 1 << 18
 #: Bytes of text for each segment of the counts, for each block of documents, and of one step.
-SEGMENT_BYTES, BLOCK_BYTES, STEP_BYTES = 16 << 20, 16 << 20, 8 << 20
+SEGMENT_BYTES, BLOCK_BYTES, STEP_BYTES = 16 << 20, 16 << 20, 4 << 20
 #: Stand for the end of a text, and for what precedes it.
 LAST, BEFORE = np.uint64(0x1D3A5C7E9B2F4681), np.uint64(0x6F0E2D4C8B1A3957)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +81,7 @@ def grams(values: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]
         held = _shifted(values, place, k - 1)
         for by in range(k - 2, -1, -1):
             held = words.mix(held * _ODD + _shifted(values, place, by))
-        out.append(held)
+        out.append(held & ~np.uint64(0xFF))  # fewer bytes to move
     return out
 
 
@@ -93,10 +93,10 @@ def _places(keys: np.ndarray, at: int, bits: np.ndarray) -> Iterator[np.ndarray]
         yield ((one + np.uint64(i) * step) % bits).astype(np.int64)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def segment(keys: np.ndarray, counts: np.ndarray, each: int = BITS) -> bytes:
     """The bits of a segment that holds the levels of these counts."""
     levels = level(counts)
-    bits = np.uint64(max(64, -(-int(levels.sum()) * BITS // 8) * 8))
+    bits = np.uint64(max(64, -(-int(levels.sum()) * each // 8) * 8))
     out = np.zeros(int(bits), bool)
     for at in range(1, int(levels.max(initial=0)) + 1):
         for place in _places(keys[levels >= at], at, bits):
@@ -143,9 +143,9 @@ def _text(docs: DataFrame, text: str) -> Any:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def _steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def _steps(batch: pa.RecordBatch, column: int, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    cuts = [0, *(np.flatnonzero(np.diff(size // STEP_BYTES)) + 1).tolist(), batch.num_rows]
+    cuts = [0, *(np.flatnonzero(np.diff(size // step)) + 1).tolist(), batch.num_rows]
     for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
         if end > begin:
             yield batch.slice(begin, end - begin)
@@ -163,7 +163,7 @@ def _share(keys: np.ndarray, shift: int) -> np.ndarray:
 _SHARE_ROWS = "share long, kind int, n long, data binary"
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES) -> Model:
+def fit(docs: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES, bits: int = BITS) -> Model:
     """Counts the words and n-grams of whole texts; a text ends with one more token, and a null text is empty."""
     spark = docs.sparkSession
     rows = docs.select(_text(docs, text).alias("text"))
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _steps(batch, 0):
+            for some in _steps(batch, 0, 2 * STEP_BYTES):
                 values, begin = tokens(some.column(0))
                 for kind, keys in ((WORDS, [values]), (SEGMENT, grams(values, begin, order))):
                     if keys:
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: i
                 data = packed(np.zeros(len(key), np.int64), [key.view(np.int64), n]).column(2)[0].as_py()
                 values = [share, kind, len(key), data, int(n.sum()), len(key), int(n[key == LAST].sum())]
             else:
-                data = segment(key, n)
+                data = segment(key, n, bits)
                 values = [share, kind, len(data), data, 0, 0, 0]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
 
@@ -293,7 +293,8 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                         yield packed(block[held], [key[held].view(np.int64), value[held]])
 
     asked = rows.select("block", "text").mapInArrow(ask, _SHARE_ROWS)
-    answers = model.table.union(asked).repartition("share").sortWithinPartitions("share", "kind").mapInArrow(answer, "block long, n long, data binary")
+    tables = model.table if filter_on is None else model.table.where(F.col("kind") == WORDS)
+    answers = tables.union(asked).repartition("share").sortWithinPartitions("share", "kind").mapInArrow(answer, "block long, n long, data binary")
     answers = written(answers, "answers")
     fields = [rows.schema[name] for name in ("doc_id", *keep)]
     both = rows.select("block", F.lit(0).cast("long").alias("n"), F.col("text").cast("binary").alias("data"), *(f.name for f in fields)).unionByName(
