@@ -8,10 +8,11 @@ import warnings
 from pyspark.sql import SparkSession, functions as F
 
 from sigspark.functions.values import parse_count
+from sigspark.operators import alignments as A
 from sigspark.operators import readindex, squiggle
 from sigspark.options import Options
 from sigspark.plans import jobs
-from sigspark.sources import sequences, slow5, tsv
+from sigspark.sources import bam, sequences, slow5, tsv
 
 
 def session() -> SparkSession:
@@ -35,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--summary", action="append", default=[])
     p.add_argument("--summary-list")
     p.add_argument("--slow5", action="store_true", help="index the records of binary signal files")
+    p = verbs.add_parser("index-alignments")
+    p.add_argument("--alignments", required=True)
     for name in ("call-methylation", "eventalign"):
         p = verb(name, "reads", "alignments", "signals", "genome", "kmer-model")
         p.add_argument("--meth-model")
@@ -64,7 +67,8 @@ def parser() -> argparse.ArgumentParser:
 def _options(a) -> Options:
     return Options(
         min_mapq=a.min_mapq, secondary=a.secondary == "yes", skip_unreadable=a.skip_unreadable == "yes",
-        ultra_threshold=a.ultra_thresh if a.skip_ultra else None, region=a.window, rna=a.rna,
+        ultra_threshold=a.ultra_thresh if a.skip_ultra else None,
+        region=None if a.window and a.window.endswith(".bed") else a.window, rna=a.rna,
         min_events_to_rescale=a.min_recalib_events, call_version=a.meth_out_version, read_names=a.print_read_names,
         scale_events=a.scale_events, signal_index=a.signal_index, samples=a.samples, collapse=a.collapse_events)
 
@@ -75,10 +79,20 @@ def _reads(spark, path):
     return sequences.read_fasta(spark, path)
 
 
-def _alignments(spark, path):
+def _alignments(spark, path, window=None):
+    """Alignments with ids in input order. A window, also a BED file of them, is found through the index of a BAM file."""
+    bed = window and window.endswith(".bed")
+    regions = tsv.read_bed(spark, window) if bed else None
     if path.endswith(".bam"):
-        return sequences.with_alignment_ids(sequences.read_bam(spark, path).drop("seq"))
-    return sequences.with_ordinals(sequences.read_sam(spark, path))
+        wanted = [(r["contig"], max(r["beg"] - 1, 0), r["end"]) for r in regions.toLocalIterator()] if bed else None
+        rows = bam.read_bam(spark, path, wanted, bases="false").drop("seq")
+        rows = A.region_filter(rows, window) if window and not bed else rows
+        rows = sequences.with_alignment_ids(rows)
+    else:
+        rows = A.with_end(sequences.with_ordinals(sequences.read_sam(spark, path)))
+    if bed:  # an alignment comes once for each region that it overlaps, the regions in order
+        rows = A.bed_overlap(rows, regions).withColumn("aln_id", F.shiftleft("region_id", 40) + F.col("aln_id")).drop("region_id")
+    return rows
 
 
 def _signals(spark, path):
@@ -97,6 +111,8 @@ def run(a) -> None:
     if a.verb == "meth-freq":
         out = jobs.meth_freq(tsv.read_calls(spark, a.input), Options(call_threshold=a.threshold, split_groups=a.split))
         tsv.write_lines(out, tsv.frequency_lines(), tsv.FREQUENCY_COLUMNS, a.output)
+    elif a.verb == "index-alignments":
+        bam.index_bam(spark, a.alignments)
     elif a.verb == "freq-merge":
         out = jobs.freq_merge([tsv.read_frequencies(spark, t) for t in a.tables])
         tsv.write_lines(out, tsv.frequency_lines(), tsv.FREQUENCY_COLUMNS, a.output)
@@ -125,7 +141,7 @@ def run(a) -> None:
 
 
 def _signal_verbs(spark, a, opts) -> None:
-    reads, alignments, signals = _reads(spark, a.reads), _alignments(spark, a.alignments), _signals(spark, a.signals)
+    reads, alignments, signals = _reads(spark, a.reads), _alignments(spark, a.alignments, a.window), _signals(spark, a.signals)
     genome = sequences.read_fasta(spark, a.genome).select(F.col("read_id").alias("contig"), "seq")
     table, model, k = _model(spark, a.kmer_model)
     if a.skip_ultra:

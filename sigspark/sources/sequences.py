@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sigspark.functions.sequence import kmer_rank, kmer_rank5
 
 FASTX_SCHEMA = "read_id string, comment string, seq string, qual string, file string, record long"
-SAM_SCHEMA = "read_id string, flag int, contig string, pos int, mapq int, cigar string, seq string, nm int, file string, record long"
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +33,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def _open(path: str):
     filesystem, name = pafs.FileSystem.from_uri(path.replace("file:///", "/"))
     stream = filesystem.open_input_stream(name, compression=None)
-    return gzip.open(stream) if name.endswith((".gz", ".bam")) else stream
+    return gzip.open(stream) if name.endswith(".gz") else stream
 
 
 def _fastx_records(path: str) -> Iterator[tuple]:
@@ -113,68 +111,16 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         F.when(nm != "", nm.cast("int")).alias("nm"), F.monotonically_increasing_id().alias("ordinal"))
 
 
-def _bam_records(path: str) -> Iterator[tuple]:
-    with _open(path) as stream:
-        def take(n: int) -> bytes:
-            data = stream.read(n)
-            if len(data) < n:
-                raise ValueError(f"truncated file {path}")
-            return data
-
-        if take(4) != b"BAM\1":
-            raise ValueError(f"not a BAM file: {path}")
-        take(struct.unpack("<i", take(4))[0])
-        contigs = []
-        for _ in range(struct.unpack("<i", take(4))[0]):
-            contigs.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-            take(4)
-        while size := stream.read(4):
-            body = take(struct.unpack("<i", size)[0])
-            ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", body)
-            at = 32
-            name = body[at:at + l_name - 1].decode()
-            at += l_name
-            ops = struct.unpack_from(f"<{n_cigar}I", body, at)
-            at += 4 * n_cigar
-            packed = body[at:at + (l_seq + 1) // 2]
-            seq = "".join("=ACMGRSVTWYHKDBN"[b >> 4] + "=ACMGRSVTWYHKDBN"[b & 15] for b in packed)[:l_seq]
-            at += (l_seq + 1) // 2 + l_seq
-            cigar = "".join(f"{op >> 4}{'MIDNSHP=X'[op & 15]}" for op in ops) or "*"
-            yield (name, flag, contigs[ref] if ref >= 0 else "*", pos, mapq, cigar, seq or "*", _edit_distance(body, at))
-
-
-def _edit_distance(body: bytes, at: int) -> int | None:
-    """Value of the NM tag among the typed tags at the end of a record."""
-    sizes = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-    formats = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
-    while at + 3 <= len(body):
-        tag, kind = body[at:at + 2], chr(body[at + 2])
-        at += 3
-        if tag == b"NM" and kind in formats:
-            return struct.unpack_from(formats[kind], body, at)[0]
-        if kind in "ZH":
-            at = body.index(b"\0", at) + 1
-        elif kind == "B":
-            at += 5 + sizes[chr(body[at])] * struct.unpack_from("<i", body, at + 1)[0]
-        else:
-            at += sizes[kind]
-    return None
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files, one task per file."""
-    return _per_file(spark, path, SAM_SCHEMA, _bam_records)
-
-
 def with_alignment_ids(rows: DataFrame, name: str = "aln_id") -> DataFrame:
-    """Consecutive numbers over all files, in order of (file, record).
+    """Consecutive numbers over all files, in order of (file, part, place).
 
-    Only one count per file is ordered; its running sum is joined back as the offset of the file.
+    A part is a piece of a file that one task reads. Only one count for each is ordered; its running sum is joined
+    back as the offset of the part.
     """
-    counts = rows.groupBy("file").agg((F.max("record") + 1).alias("_n"))
-    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).cast("long").alias("_before"))
-    return rows.join(offsets, "file").withColumn(name, F.col("_before") + F.col("record")).drop("_before")
+    counts = rows.groupBy("file", "part").agg((F.max("place") + 1).alias("_n"))
+    ahead = Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).cast("long").alias("_before"))
+    return rows.join(offsets, ["file", "part"]).withColumn(name, F.col("_before") + F.col("place")).drop("_before")
 
 
 def with_ordinals(rows: DataFrame, id_column: str = "ordinal", name: str = "aln_id") -> DataFrame:
