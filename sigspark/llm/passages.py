@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.llm import words
-from sigspark.llm.common import sorted_runs, written
+from sigspark.llm.common import packed, sorted_runs, unpacked, written
 from sigspark.llm.decontam import overlap
 
 #: Places of a seed, of which the ones are compared.
@@ -27,12 +27,15 @@ MASK = "1111011"
 _KEPT = [i for i, kept in enumerate(MASK) if kept == "1"]
 #: Words of a seed, cost of a word between two seeds (on either side), words beside a chain that are tried at first.
 K, GAP, MARGIN = len(_KEPT), 0.15, 64
-#: Places of a run of seeds of which one is chained; bits of the share of a seed or document; bytes of text sown at once.
+#: Places of a run of seeds of which one is chained; least bits of the share of a seed or document; bytes of text sown at
+#: once, and bytes of text for which there is a share.
 THIN, SHARES, SOWN = 8, 11, 1 << 23
 #: Bits of a seed that move with it; with those of its share it has 59.
 LOW = np.uint64((1 << 48) - 1)
 #: Words of a repeated passage, of one aligned stretch in it, words between two stretches, least share of equal words.
 PASSAGE, STRETCH, BETWEEN, EQUAL = 50, 12, 6, 0.8
+#: Pairs of a document and an owner that are taken at once, and matches that are packed together.
+PAIRS, MET = 2048, 1 << 20
 #: Equal words that every seed begins with; words of a stretch between two diagonals that is aligned in full.
 RUN, LONG = MASK.index("0"), 200
 
@@ -50,7 +53,9 @@ def seeds(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def met(seed: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """(doc, other, place, place in other) of the matches of seeds: the first place in each text with the owner of the
-    seed, every further place with the first one of the same text."""
+    seed and with the document before it that has the seed, every further place with the first one of the same text.
+
+    The second match finds what two documents share although the owner of each of its seeds has them scattered."""
     order = np.argsort(seed)
     same = seed[order][1:] == seed[order][:-1]
     order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
@@ -63,18 +68,22 @@ def met(seed: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray) -
     spread = lambda marks: np.maximum.accumulate(np.where(marks, np.arange(len(marks)), 0))
     target = np.where(head, spread(fresh), spread(head)) if len(seed) else order
     keep = ~head | (doc != doc[target])
-    return doc[keep], doc[target][keep], place[keep], place[target][keep]
+    heads = np.flatnonzero(head)
+    before = np.append(heads[:1], heads[:-1])  # of one seed, as the owner comes first
+    near = keep[heads] & ~fresh[heads] & ~fresh[before] & (doc[heads] != doc[before])
+    at, to = np.append(np.flatnonzero(keep), heads[near]), np.append(target[keep], before[near])
+    return doc[at], doc[to], place[at], place[to]
 
 
-def thinned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Marks the matches that are enough for chains: of equal seeds side by side, as in a repeated word, one for each K
+def thinned(x: np.ndarray, y: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Marks the matches of each pair of texts that are enough for chains: of equal seeds side by side, as in a repeated word, one for each K
     places; of a run on one diagonal the first, the last and one for each THIN places."""
     out = np.ones(len(x), bool)
     for line, at, ends in ((y, x, False), (x - y, x, True)):
         left = np.flatnonzero(out)
-        order = left[np.lexsort((at[left], line[left]))]
+        order = left[np.lexsort((at[left], line[left], pair[left]))]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (np.diff(line[order]) != 0) | (np.diff(at[order]) > (K if ends else 1))
+        fresh[1:] = (np.diff(pair[order]) != 0) | (np.diff(line[order]) != 0) | (np.diff(at[order]) > (K if ends else 1))
         begin = at[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
         step = (at[order] - begin) // (THIN if ends else K)
         keep = fresh.copy()
@@ -265,35 +274,77 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[order][first], np.maximum.reduceat(end[order], first)
 
 
-def _packed(share: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A row for each share: the entries of each column as differences, their bytes by significance, compressed."""
-    codec, order = pa.Codec("zstd", compression_level=1), np.argsort(share, kind="stable")
-    share = share[order].astype(np.int64)
-    cuts = np.flatnonzero(np.diff(share)) + 1
-    begin, end = np.append(0, cuts)[:len(share)], np.append(cuts, len(share))[:len(share)]
-    planes = []
-    for column in columns:
-        flat = column[order]
-        steps = np.diff(flat, prepend=flat[:1])
-        steps[begin] = flat[begin]
-        planes.append(steps.view(np.uint8).reshape(len(steps), -1))
-    planes = np.concatenate(planes, axis=1)
-    data = [codec.compress(planes[i:j].T.tobytes(), asbytes=True) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(share[begin]), pa.array(end - begin, pa.int64()), pa.array(data, pa.binary())], ["share", "n", "data"])
-
-
 def _unpacked(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[np.ndarray]]:
     """The columns of each share, for packed rows that are sorted by it."""
-    codec, sizes = pa.Codec("zstd"), [np.dtype(kind).itemsize for kind in kinds]
     for _, counts, data in sorted_runs(batches):
-        parts: list[list[np.ndarray]] = [[] for _ in kinds]
-        for n, packed in zip(counts.tolist(), data, strict=True):
-            flat = np.frombuffer(codec.decompress(packed, n * sum(sizes), asbytes=True), np.uint8).reshape(sum(sizes), n)
-            at = 0
-            for part, kind, size in zip(parts, kinds, sizes, strict=True):
-                part.append(np.cumsum(np.ascontiguousarray(flat[at:at + size].T).view(kind).ravel(), dtype=kind))
-                at += size
-        yield [np.concatenate(part) for part in parts]
+        parts = [unpacked(n, row, kinds) for n, row in zip(counts.tolist(), data, strict=True)]
+        yield [np.concatenate(part) for part in zip(*parts, strict=True)]
+
+
+def straight(x: list[int]) -> list[list[int]]:
+    """chains() of matches on one diagonal with rising places: the best predecessor of a match is the one before it."""
+    score, linked = [float(K)], [False]
+    for before, place in zip(x, x[1:], strict=False):
+        gain = score[-1] - 2 * GAP * (place - before)
+        linked.append(gain > 0)
+        score.append(K + max(gain, 0.0))
+    if all(linked[1:]) and max(score) == score[-1]:
+        return [list(range(len(x)))]
+    used, out = [False] * len(x), []
+    for i in sorted(range(len(x)), key=lambda j: (-score[j], j)):
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append(i)
+            i = i - 1 if linked[i] else -1
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def chained(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Chains of the matches of two texts, sorted by x and y."""
+    steps = np.diff(x)
+    if (steps == np.diff(y)).all() and (steps > 0).all():
+        return [np.array(found) for found in straight(x.tolist())]
+    return chains(x, y)
+
+
+def one_chain(x: np.ndarray, y: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Marks the pairs, of matches from `begin` on, that are one chain for sure: on one diagonal, each match nearer to
+    the one before it than its worth."""
+    steps = np.diff(x)
+    near = np.append(True, (steps == np.diff(y)) & (steps > 0) & (2 * GAP * steps < K))
+    near[begin] = True
+    return np.logical_and.reduceat(near, begin) if len(begin) else near[:0]
+
+
+def _flat(places: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """place, place + 1, .. of each place, so many as its width."""
+    ends = np.cumsum(width)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(places - (ends - width), width)
+
+
+def may_hold(equal: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Marks the runs of words, of so many each, in which a stretch may lie.
+
+    A stretch of STRETCH words or more has a part of fewer than twice as many of which EQUAL is equal, as one of its
+    halves has; and no window of STRETCH words in such a part has more unequal words than the part.
+    """
+    sums, ends = np.append(0, np.cumsum(equal)), np.cumsum(width)
+    out = np.zeros(len(width), bool)
+    run = np.repeat(np.arange(len(width)), width)
+    at = np.flatnonzero(np.arange(len(equal)) + STRETCH <= ends[run])
+    most = 2 * STRETCH - 1 - int(np.ceil(EQUAL * (2 * STRETCH - 1)))
+    out[run[at[sums[at + STRETCH] - sums[at] >= STRETCH - most]]] = True
+    at = np.flatnonzero(out[run])
+    out[:] = False
+    for size in range(STRETCH, 2 * STRETCH):
+        at = at[at + size <= ends[run[at]]]
+        held = at[sums[at + size] - sums[at] >= EQUAL * size]
+        out[run[held]] = True
+        at = at[~out[run[at]]]
+    return out
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cover: bool = False) -> DataFrame:
@@ -307,6 +358,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     with the others, not with each other.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shift = np.uint64(64 - max(SHARES, (size // SOWN).bit_length()))
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40  # tells apart the texts of a doc_id that is repeated
@@ -319,88 +372,152 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 place, seed = seeds(hashes, first)
                 doc = np.searchsorted(first, place, "right") - 1
                 ids = some.column(0).to_numpy(zero_copy_only=False)[doc]
-                yield _packed(seed >> np.uint64(64 - SHARES), [(seed & LOW).view(np.int64), ids, number + doc, (place - first[doc]).astype(np.int32)])
+                yield packed(seed >> shift, [(seed & LOW).view(np.int64), ids, number + doc, (place - first[doc]).astype(np.int32)])
                 number += some.num_rows
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seed, doc, row, place in _unpacked(batches, (np.int64, np.int64, np.int64, np.int32)):
-            doc, other, place, other_place = met(seed, doc, row, place)
-            share = words.mix(doc.view(np.uint64)) >> np.uint64(64 - SHARES)
-            for begin in range(0, len(doc), 1 << 20):
-                part = slice(begin, begin + (1 << 20))
-                yield _packed(share[part], [doc[part], other[part], place[part], other_place[part]])
+        held: list[tuple[np.ndarray, ...]] = []
 
-    packed = "share long, n long, data binary"
-    sown = rows.mapInArrow(sow, packed).repartition("share").sortWithinPartitions("share")
-    matches = sown.mapInArrow(meet, packed).repartition("share").sortWithinPartitions("share")
+        def pack() -> pa.RecordBatch:
+            doc, other, place, other_place = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            return packed(words.mix(doc.view(np.uint64)) >> shift, [doc, other, place, other_place])
+
+        for seed, doc, row, place in _unpacked(batches, (np.int64, np.int64, np.int64, np.int32)):
+            found = met(seed, doc, row, place)
+            for begin in range(0, len(found[0]), MET):
+                held.append(tuple(c[begin:begin + MET] for c in found))
+                if sum(len(part[0]) for part in held) >= MET:  # the matches of many shares, so that packed rows are not small
+                    yield pack()
+        if held:
+            yield pack()
+
+    kind = "share long, n long, data binary"
+    sown = rows.mapInArrow(sow, kind).repartition("share").sortWithinPartitions("share")
+    matches = sown.mapInArrow(meet, kind).repartition("share").sortWithinPartitions("share")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
         for ids, others, place, other_place in _unpacked(batches, (np.int64, np.int64, np.int32, np.int32)):
             order = np.lexsort((other_place, place, others, ids))
             ids, others, place, other_place = ids[order], others[order], place[order], other_place[order]
-            cuts = np.flatnonzero((np.diff(others) != 0) | (np.diff(ids) != 0)) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(others)], strict=True):
-                x, y = place[begin:end], other_place[begin:end]
-                if end - begin > 1:
-                    enough = thinned(x, y)
-                    x, y = x[enough], y[enough]
-                out += [(int(ids[begin]), int(others[begin]), x[found], y[found]) for found in chains(x, y)]
-                if len(out) >= 2000:
-                    yield _batch(out)
-                    out = []
-        if out:
-            yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        columns = [*zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())),
-             pa.array(columns[3], pa.list_(pa.int32()))], ["doc_id", "other_id", "x", "y"])
-
-    chained = written(matches.mapInArrow(chain, "doc_id long, other_id long, x array<int>, y array<int>"), "chains")
-    sides = chained.select(F.xxhash64("doc_id", "other_id", F.col("x")[0], F.col("y")[0]).alias("chain"), "doc_id", "other_id", "x", "y")
-    wanted = sides.select("chain", F.col("doc_id").alias("of"), F.lit(0).alias("side"), "x").union(
-        sides.select("chain", F.col("other_id"), F.lit(1), "y"))
-    wanted = wanted.select("chain", "of", "side", F.col("x")[0].alias("low"), F.element_at("x", -1).alias("high"))
+            pair = np.cumsum(np.append(False, (np.diff(others) != 0) | (np.diff(ids) != 0))[:len(ids)])
+            enough = thinned(place, other_place, pair)
+            ids, others, place, other_place, pair = ids[enough], others[enough], place[enough], other_place[enough], pair[enough]
+            begin = np.flatnonzero(np.append(True, np.diff(pair) != 0)[:len(ids)])
+            end = np.append(begin[1:], len(ids))[:len(begin)]
+            simple = one_chain(place, other_place, begin)
+            for low in range(0, len(begin), PAIRS):
+                pairs = slice(low, min(low + PAIRS, len(begin)))
+                counts, chosen, sizes, done = np.ones(pairs.stop - low, np.int64), [], [], low
+                for c in [*(low + np.flatnonzero(~simple[pairs])).tolist(), pairs.stop]:
+                    if c > done:  # pairs of one chain
+                        chosen.append(np.arange(begin[done], end[c - 1]))
+                        sizes.append(end[done:c] - begin[done:c])
+                    if c < pairs.stop:
+                        found = chained(place[begin[c]:end[c]], other_place[begin[c]:end[c]])
+                        chosen += [begin[c] + own for own in found]
+                        sizes.append(np.array([*map(len, found)]))
+                        counts[c - low] = len(found)
+                    done = c + 1
+                sizes = np.concatenate(sizes)
+                at = np.concatenate(chosen)
+                outer = np.append(0, np.cumsum(counts)).astype(np.int32)
+                inner = np.append(0, np.cumsum(sizes)).astype(np.int32)[outer]
+                lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[begin[pairs]]), pa.array(others[begin[pairs]]), lists(outer, np.array(sizes, np.int32)),
+                     lists(inner, place[at]), lists(inner, other_place[at])], ["doc_id", "other_id", "sizes", "x", "y"])
+
+    #: One row for each document and owner, whatever the number of their chains.
+    found = written(matches.mapInArrow(chain, "doc_id long, other_id long, sizes array<int>, x array<int>, y array<int>"), "chains")
+    sides = found.select(F.xxhash64("doc_id", "other_id").alias("pair"), "*")
+    wanted = sides.select("pair", F.col("doc_id").alias("of"), F.lit(0).alias("side"), "sizes", "x").union(
+        sides.select("pair", F.col("other_id"), F.lit(1), "sizes", "y"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words that the chains of a side need, each stretch of the text once: (begin, number of words) and the words."""
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 some = batch.slice(begin, 500)
                 texts = some.column(4).dictionary_encode()  # an owner stands in many rows
                 hashes, first = words.word_hashes(texts.dictionary)
-                parts, starts = [], []
-                for i, low, high in zip(texts.indices.to_pylist(), some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
-                    own = hashes[first[i]:first[i + 1]] if i is not None else hashes[:0]
-                    starts.append(max(0, low - MARGIN))
-                    parts.append((own[starts[-1]:high + K + MARGIN] >> np.uint64(32)).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())],
-                                                 ["chain", "side", "start", "words"])
-
-    cuts = (wanted.join(rows, wanted["of"] == rows["doc_id"]).select("chain", "side", "low", "high", "text")
-            .mapInArrow(cut, "chain long, side int, start int, words binary"))
+                short = (hashes >> np.uint64(32)).astype(np.uint32)
+                parts, starts, lengths = [], [], []
+                for i, sizes, places in zip(texts.indices.to_pylist(), some.column(2), some.column(3), strict=True):
+                    own = short[first[i]:first[i + 1]] if i is not None else short[:0]
+                    ends = np.cumsum(sizes.values.to_numpy())
+                    places = places.values.to_numpy()
+                    low, high = merged(np.maximum(places[ends - sizes.values.to_numpy()] - MARGIN, 0), places[ends - 1] + K + MARGIN)
+                    high = np.maximum(np.minimum(high, len(own)), low)
+                    starts.append(low.astype(np.int32))
+                    lengths.append((high - low).astype(np.int32))
+                    parts.append(b"".join(own[p:q].tobytes() for p, q in zip(low.tolist(), high.tolist(), strict=True)))
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(starts, kind), pa.array(lengths, kind), pa.array(parts, pa.binary())],
+                                                 ["pair", "side", "starts", "lengths", "words"])
+
+    cuts = (wanted.join(rows, wanted["of"] == rows["doc_id"]).select("pair", "side", "sizes", "x", "text")
+            .mapInArrow(cut, "pair long, side int, starts array<int>, lengths array<int>, words binary"))
     both = sides
     cuts = written(cuts, "regions")
     for side, name in ((0, "a"), (1, "b")):
-        both = both.join(cuts.where(F.col("side") == side).select("chain", F.col("start").alias(name + "_start"),
-                                                                  F.col("words").alias(name)), "chain")
+        both = both.join(cuts.where(F.col("side") == side).select("pair", F.struct("starts", "lengths", "words").alias(name)), "pair")
+    both = both.select("doc_id", "other_id", "sizes", "x", "y", *(F.col(f"{name}.{part}").alias(f"{name}_{part}") for name in "ab" for part in ("starts", "lengths", "words")))
+
+    def located(batch: pa.RecordBatch, places: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndarray, column: int) -> tuple[np.ndarray, ...]:
+        """(words of all rows, begin of the region of each chain among them, its words, its first place in the text)."""
+        starts, lengths = batch.column(column), batch.column(column + 1)
+        offsets = starts.offsets.to_numpy() - starts.offsets[0].as_py()
+        start, length = starts.flatten().to_numpy().astype(np.int64), lengths.flatten().to_numpy().astype(np.int64)
+        begin = np.cumsum(length) - length  # the words of all rows lie behind each other
+        flat = np.frombuffer(b"".join(batch.column(column + 2).to_pylist()), np.uint32)
+        of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        step = np.int64(1) << 40  # tells apart the rows
+        low = np.maximum(places[first] - MARGIN, 0)
+        at = np.searchsorted(of * step + start, row * step + low, "right") - 1
+        inside = low - start[at]
+        size = np.minimum(places[last] + K + MARGIN - low, length[at] - inside)
+        return flat, begin[at] + inside, size, low
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc, other, x, y, a_start, a, b_start, b = row
-                a, b, x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.array(x) - a_start, np.array(y) - b_start
-                if len(a) < x[-1] + K or len(b) < y[-1] + K:  # of another text with this doc_id
-                    continue
-                found += [(doc, a0 + a_start, a1 - a0, other, b0 + b_start, equal) for a0, a1, b0, b1, equal in stretches(a, b, x, y)]
-            held = [*zip(*found, strict=True)] if found else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names)
+        for whole in batches:
+            for low in range(0, whole.num_rows, PAIRS):
+                yield aligned(whole.slice(low, PAIRS))
+
+    def aligned(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs, others = (batch.column(i).to_numpy() for i in (0, 1))
+        counts = np.diff(batch.column(2).offsets.to_numpy())
+        sizes = batch.column(2).flatten().to_numpy().astype(np.int64)
+        x, y = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (3, 4))
+        row, last = np.repeat(np.arange(batch.num_rows), counts), np.cumsum(sizes) - 1
+        first = last - sizes + 1
+        a, a_at, a_size, a_low = located(batch, x, first, last, row, 5)
+        b, b_at, b_size, b_low = located(batch, y, first, last, row, 8)
+        ok = (a_size >= x[last] - a_low + K) & (b_size >= y[last] - b_low + K)  # else of another text with this doc_id
+        turns = np.append(0, np.cumsum(np.append(False, np.diff(x - y) != 0)))
+        single = ok & (turns[last + 1] == turns[first + 1])
+        # all words along the diagonal of the chains that have one, at once
+        lone = np.flatnonzero(single)
+        back = np.minimum(x[first] - a_low, y[first] - b_low)[lone]
+        span = (x[last] - x[first] + RUN)[lone]
+        i, j = (x[first] - a_low)[lone] - back, (y[first] - b_low)[lone] - back
+        width = np.minimum(a_size[lone] - i, b_size[lone] - j)
+        width = np.maximum(width, back + span)
+        equal = a[np.minimum(_flat(a_at[lone] + i, width), len(a) - 1)] == b[np.minimum(_flat(b_at[lone] + j, width), len(b) - 1)]
+        todo = ok & ~single
+        todo[lone[may_hold(equal, width)]] = True
+        found = []
+        for c in np.flatnonzero(todo).tolist():
+            own, other = a[a_at[c]:a_at[c] + a_size[c]], b[b_at[c]:b_at[c] + b_size[c]]
+            places = slice(first[c], last[c] + 1)
+            found += [(docs[row[c]], a0 + a_low[c], a1 - a0, others[row[c]], b0 + b_low[c], n)
+                      for a0, a1, b0, b1, n in stretches(own, other, x[places] - a_low[c], y[places] - b_low[c])]
+        held = [*zip(*found, strict=True)] if found else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names)
 
     names = ["doc_id", "first_word", "n_words", "other_id", "other_first_word", "n_equal"]
     kind = ", ".join(f"{name} long" for name in names)
-    spans = both.select("doc_id", "other_id", "x", "y", "a_start", "a", "b_start", "b").mapInArrow(align, kind)
+    spans = both.mapInArrow(align, kind)
 
     def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in sorted_runs(batches):

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sigspark.llm import decontam, neardup, passages, quality, words
+from sigspark.llm.common import written
 
 VOCABULARY = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("", "n", "st", "rm")]
 
@@ -188,9 +189,56 @@ def test_matches_of_seeds_equal_all_places():
             if own != i or doc[owner] != doc[i]:
                 other = owner if own == i else own
                 want.append((doc[i], doc[other], place[i], place[other]))
+            earlier = [j for j in same if own == i and (doc[j], row[j]) < (doc[i], row[i]) and j == min(k for k in same if row[k] == row[j])]
+            if earlier and doc[owner] != doc[i]:  # the text before it too, where that is another one than the owner
+                before = max(earlier, key=lambda j: (doc[j], row[j]))
+                if before != owner and doc[before] != doc[i]:
+                    want.append((doc[i], doc[before], place[i], place[before]))
         assert found == sorted(want)
 
 
+def test_passage_whose_words_stand_scattered_in_an_earlier_text(spark, documents):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10 ** 9, n)]
+    passage = word(60)
+    size = len(passages.MASK)
+    scattered = sum((passage[i:i + size] + word(3) for i in range(len(passage) - size + 1)), [])
+    rows = [(1, " ".join(scattered)), (2, " ".join(word(30) + passage + word(20))), (3, " ".join(word(10) + passage + word(40)))]
+    found = {(r.doc_id, r.other_id, r.first_word, r.n_words) for r in passages.repeated_passages(documents(rows)).collect()}
+    assert (3, 2, 10, 60) in found
+
+
+def test_runs_that_may_hold_a_stretch():
+    rng = np.random.default_rng(2)
+    width = rng.integers(0, 60, 400)
+    equal = rng.random(width.sum()) < np.repeat(rng.uniform(0.3, 1, 400), width)
+    marks, ends = passages.may_hold(equal, width), np.cumsum(width)
+    for i in range(400):
+        own = equal[ends[i] - width[i]:ends[i]]
+        assert not (decontam.overlap(own, passages.STRETCH, passages.EQUAL) and not marks[i])
+    assert 20 < marks.sum() < 380
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=30))
+def test_chains_on_one_diagonal(places):
+    x = np.array(sorted(places))
+    found, want = passages.chained(x, x + 7), passages.chains(x, x + 7)
+    assert [c.tolist() for c in found] == [c.tolist() for c in want]
+    if passages.one_chain(x, x + 7, np.array([0]))[0]:
+        assert len(want) == 1 and len(want[0]) == len(x)
+
+
+def test_repeats_within_a_text_are_one_row(spark, documents, monkeypatch):
+    """A line that stands a hundred times in a text is one row between the steps, not a hundred."""
+    tables = {}
+    monkeypatch.setattr(passages, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    line = "one two three four five six seven eight nine ten"
+    rows = [(i, "\n".join(f"{line}\n{i} {j} {i * j}" for j in range(100))) for i in range(3)]
+    passages.repeated_passages(documents(rows)).collect()
+    assert 3 <= tables["chains"].count() <= 6
+
+
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=14, unique=True))
 def test_best_chain_equals_quadratic(matches):
