@@ -29,13 +29,13 @@ _KEPT = [i for i, kept in enumerate(MASK) if kept == "1"]
 K, GAP, MARGIN = len(_KEPT), 0.15, 64
 #: Places of a run of seeds of which one is chained; least bits of the share of a seed or document; bytes of text sown at
 #: once, and bytes of text for which there is a share.
-THIN, SHARES, SOWN = 8, 11, 1 << 23
+THIN, SHARES, SOWN = 8, 11, 1 << 22
 #: Bits of a seed that move with it; with those of its share it has 59.
 LOW = np.uint64((1 << 48) - 1)
 #: Words of a repeated passage, of one aligned stretch in it, words between two stretches, least share of equal words.
 PASSAGE, STRETCH, BETWEEN, EQUAL = 50, 12, 6, 0.8
 #: Pairs of a document and an owner that are taken at once, and matches that are packed together.
-PAIRS, MET = 2048, 1 << 20
+PAIRS, MET = 2048, 1 << 18
 #: Equal words that every seed begins with; words of a stretch between two diagonals that is aligned in full.
 RUN, LONG = MASK.index("0"), 200
 
@@ -254,6 +254,17 @@ def stretches(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> lis
     return out
 
 
+def along(equal: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """stretches() of a chain whose seeds lie in [low, high) of a diagonal, if it is one: (begin, end, equal words).
+
+    That is so if the chain holds as a whole and either is a passage or no part of the diagonal can be one.
+    """
+    begin, end = low - _grown(equal[:low][::-1]), high + _grown(equal[high:])
+    n, size = int(np.count_nonzero(equal[begin:end])), end - begin
+    holds = size >= STRETCH and n >= EQUAL * size
+    return (begin, end, n) if holds and (size >= PASSAGE or np.count_nonzero(equal) < EQUAL * PASSAGE) else None
+
+
 def long_cover(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Marks the stretches whose cover, gaps of up to BETWEEN words bridged, is at least PASSAGE words long."""
     order = np.argsort(begin, kind="stable")
@@ -442,16 +453,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 texts = some.column(4).dictionary_encode()  # an owner stands in many rows
                 hashes, first = words.word_hashes(texts.dictionary)
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
-                parts, starts, lengths = [], [], []
-                for i, sizes, places in zip(texts.indices.to_pylist(), some.column(2), some.column(3), strict=True):
-                    own = short[first[i]:first[i + 1]] if i is not None else short[:0]
-                    ends = np.cumsum(sizes.values.to_numpy())
-                    places = places.values.to_numpy()
-                    low, high = merged(np.maximum(places[ends - sizes.values.to_numpy()] - MARGIN, 0), places[ends - 1] + K + MARGIN)
-                    high = np.maximum(np.minimum(high, len(own)), low)
-                    starts.append(low.astype(np.int32))
-                    lengths.append((high - low).astype(np.int32))
-                    parts.append(b"".join(own[p:q].tobytes() for p, q in zip(low.tolist(), high.tolist(), strict=True)))
+                sizes = some.column(2).flatten().to_numpy()
+                last = np.cumsum(sizes) - 1
+                places, ends = some.column(3).flatten().to_numpy(), np.cumsum(np.diff(some.column(2).offsets.to_numpy())).tolist()
+                low, high = np.maximum(places[last - sizes + 1] - MARGIN, 0), places[last] + K + MARGIN
+                parts, starts, lengths, at = [], [], [], 0
+                for i, end in zip(texts.indices.to_pylist(), ends, strict=True):
+                    text_at, n = (int(first[i]), int(first[i + 1] - first[i])) if i is not None else (0, 0)
+                    p, q = (low[at:end], high[at:end]) if end - at == 1 else merged(low[at:end], high[at:end])
+                    p, at = p.tolist(), end
+                    q = [max(min(b, n), a) for a, b in zip(p, q.tolist(), strict=True)]
+                    starts.append(p)
+                    lengths.append([b - a for a, b in zip(p, q, strict=True)])
+                    parts.append(b"".join([short[text_at + a:text_at + b].tobytes() for a, b in zip(p, q, strict=True)]))
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(starts, kind), pa.array(lengths, kind), pa.array(parts, pa.binary())],
                                                  ["pair", "side", "starts", "lengths", "words"])
@@ -505,8 +519,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         width = np.maximum(width, back + span)
         equal = a[np.minimum(_flat(a_at[lone] + i, width), len(a) - 1)] == b[np.minimum(_flat(b_at[lone] + j, width), len(b) - 1)]
         todo = ok & ~single
-        todo[lone[may_hold(equal, width)]] = True
-        found = []
+        ends, found = np.cumsum(width), []
+        for c in np.flatnonzero(may_hold(equal, width)).tolist():
+            chain, own = lone[c], equal[ends[c] - width[c]:ends[c]]
+            if (span_ := along(own, int(back[c]), int(back[c] + span[c]))) is None:
+                todo[chain] = True
+                continue
+            begin, end, n = span_
+            found.append((docs[row[chain]], a_low[chain] + i[c] + begin, end - begin, others[row[chain]], b_low[chain] + j[c] + begin, n))
         for c in np.flatnonzero(todo).tolist():
             own, other = a[a_at[c]:a_at[c] + a_size[c]], b[b_at[c]:b_at[c] + b_size[c]]
             places = slice(first[c], last[c] + 1)
