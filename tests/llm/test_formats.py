@@ -275,5 +275,5 @@ def test_every_dealt_query_is_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
