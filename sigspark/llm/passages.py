@@ -27,6 +27,8 @@ MASK = "1111011"
 _KEPT = [i for i, kept in enumerate(MASK) if kept == "1"]
 #: Words of a seed, cost of a word between two seeds (on either side), words beside a chain that are tried at first.
 K, GAP, MARGIN = len(_KEPT), 0.15, 64
+#: The worth of a seed and the cost of a word in whole hundredths, so that sums are exact.
+WORTH, COST = 100 * K, round(100 * GAP)
 #: Places of a run of seeds of which one is chained; least bits of the share of a seed or document; bytes of text sown at
 #: once, and bytes of text for which there is a share.
 THIN, SHARES, SOWN = 8, 11, 1 << 22
@@ -103,7 +105,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     ranks = np.unique(y, return_inverse=True)[1].ravel() + 1
     n, top = len(x), int(ranks.max())
     value, holder = [-1e18] * (top + 1), [-1] * (top + 1)
-    score, before = [0.0] * n, [-1] * n
+    score, before = [0] * n, [-1] * n
     xs, ys, rank = x.tolist(), y.tolist(), ranks.tolist()
     at = 0
     while at < n:
@@ -114,12 +116,12 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
                 if value[r] > best:
                     best, who = value[r], holder[r]
                 r -= r & -r
-            gain = best - GAP * (xs[to] + ys[to])
-            score[to] = K + max(gain, 0.0)
+            gain = best - COST * (xs[to] + ys[to])
+            score[to] = WORTH + max(gain, 0)
             before[to] = who if gain > 0 else -1
             to += 1
         for i in range(at, to):
-            v, r = score[i] + GAP * (xs[i] + ys[i]), rank[i]
+            v, r = score[i] + COST * (xs[i] + ys[i]), rank[i]
             while r <= top:
                 if v > value[r]:
                     value[r], holder[r] = v, i
@@ -294,11 +296,11 @@ def _unpacked(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[
 
 def straight(x: list[int]) -> list[list[int]]:
     """chains() of matches on one diagonal with rising places: the best predecessor of a match is the one before it."""
-    score, linked = [float(K)], [False]
+    score, linked = [WORTH], [False]
     for before, place in zip(x, x[1:], strict=False):
-        gain = score[-1] - 2 * GAP * (place - before)
+        gain = score[-1] - 2 * COST * (place - before)
         linked.append(gain > 0)
-        score.append(K + max(gain, 0.0))
+        score.append(WORTH + max(gain, 0))
     if all(linked[1:]) and max(score) == score[-1]:
         return [list(range(len(x)))]
     used, out = [False] * len(x), []
@@ -325,7 +327,7 @@ def one_chain(x: np.ndarray, y: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Marks the pairs, of matches from `begin` on, that are one chain for sure: on one diagonal, each match nearer to
     the one before it than its worth."""
     steps = np.diff(x)
-    near = np.append(True, (steps == np.diff(y)) & (steps > 0) & (2 * GAP * steps < K))
+    near = np.append(True, (steps == np.diff(y)) & (steps > 0) & (2 * COST * steps < WORTH))
     near[begin] = True
     return np.logical_and.reduceat(near, begin) if len(begin) else near[:0]
 
