@@ -30,9 +30,9 @@ K, GAP, MARGIN = len(_KEPT), 0.15, 64
 #: The worth of a seed and the cost of a word in whole hundredths, so that sums are exact.
 WORTH, COST = 100 * K, round(100 * GAP)
 #: Places of a run of seeds of which one is chained; least bits of the share of a seed or document; bytes of text sown at
-#: once, and bytes of text for which there is a share.
-THIN, SHARES, SOWN = 8, 11, 1 << 22
-#: Bits of a seed that move with it; with those of its share it has 59.
+#: once, and bytes of text for which there is a share. A task packs a row for each share, so few shares make few, dense rows.
+THIN, SHARES, SOWN = 8, 8, 1 << 22
+#: Bits of a seed that move with it; with those of its share it has 56 or more.
 LOW = np.uint64((1 << 48) - 1)
 #: Words of a repeated passage, of one aligned stretch in it, words between two stretches, least share of equal words.
 PASSAGE, STRETCH, BETWEEN, EQUAL = 50, 12, 6, 0.8
