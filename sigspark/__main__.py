@@ -12,7 +12,7 @@ from sigspark.operators import alignments as A
 from sigspark.operators import readindex, squiggle
 from sigspark.options import Options
 from sigspark.plans import jobs
-from sigspark.sources import bam, sequences, slow5, tsv
+from sigspark.sources import bam, fastq, sequences, slow5, tsv
 
 
 def session() -> SparkSession:
@@ -74,7 +74,9 @@ def _options(a) -> Options:
 
 
 def _reads(spark, path):
-    if path.endswith((".gz", ".fq", ".fastq")):
+    if path.endswith(fastq.SUFFIXES):
+        return fastq.read_fastq(spark, path).withColumn("ordinal", F.struct("file", "record"))
+    if path.endswith(".gz"):
         return sequences.read_fastx(spark, path).withColumn("ordinal", F.struct("file", "record"))
     return sequences.read_fasta(spark, path)
 

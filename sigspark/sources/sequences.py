@@ -36,7 +36,7 @@ def _open(path: str):
     return gzip.open(stream) if name.endswith(".gz") else stream
 
 
-def _fastx_records(path: str) -> Iterator[tuple]:
+def fastx_records(path: str) -> Iterator[tuple]:
     """Records of a FASTA or FASTQ file; sequences and qualities may span lines."""
     name = comment = None
     seq: list[str] = []
@@ -97,7 +97,7 @@ def _per_file(spark: SparkSession, path: str, schema: str, records, batch_rows:
 
 def read_fastx(spark: SparkSession, path: str) -> DataFrame:
     """FASTA or FASTQ, plain or gzipped, one task per file."""
-    return _per_file(spark, path, FASTX_SCHEMA, _fastx_records)
+    return _per_file(spark, path, FASTX_SCHEMA, fastx_records)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
