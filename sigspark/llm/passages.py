@@ -32,8 +32,9 @@ WORTH, COST = 100 * K, round(100 * GAP)
 #: Places of a run of seeds of which one is chained; least bits of the share of a seed or document; bytes of text sown at
 #: once, and bytes of text for which there is a share. A task packs a row for each share, so few shares make few, dense rows.
 THIN, SHARES, SOWN = 8, 8, 1 << 22
-#: Bits of a seed that move with it; with those of its share it has 56 or more.
-LOW = np.uint64((1 << 48) - 1)
+#: The parts of a seed that move with it, 40 bits. As shares follow the input, a seed meets a different one of equal bits
+#: with a probability below 1e-6 at every size; the words decide.
+LOW = (np.uint32, np.uint8)
 #: Words of a repeated passage, of one aligned stretch in it, words between two stretches, least share of equal words.
 PASSAGE, STRETCH, BETWEEN, EQUAL = 50, 12, 6, 0.8
 #: Pairs of a document and an owner that are taken at once, and matches that are packed together.
@@ -385,7 +386,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 place, seed = seeds(hashes, first)
                 doc = np.searchsorted(first, place, "right") - 1
                 ids = some.column(0).to_numpy(zero_copy_only=False)[doc]
-                yield packed(seed >> shift, [(seed & LOW).view(np.int64), ids, number + doc, (place - first[doc]).astype(np.int32)])
+                low = [seed.astype(LOW[0]), (seed >> np.uint64(32)).astype(LOW[1])]
+                yield packed(seed >> shift, [*low, ids, number + doc, (place - first[doc]).astype(np.int32)])
                 number += some.num_rows
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,8 +398,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             held.clear()
             return packed(words.mix(doc.view(np.uint64)) >> shift, [doc, other, place, other_place])
 
-        for seed, doc, row, place in _unpacked(batches, (np.int64, np.int64, np.int64, np.int32)):
-            found = met(seed, doc, row, place)
+        for low, high, doc, row, place in _unpacked(batches, (*LOW, np.int64, np.int64, np.int32)):
+            found = met(low.astype(np.int64) | high.astype(np.int64) << 32, doc, row, place)
             for begin in range(0, len(found[0]), MET):
                 held.append(tuple(c[begin:begin + MET] for c in found))
                 if sum(len(part[0]) for part in held) >= MET:  # the matches of many shares, so that packed rows are not small
