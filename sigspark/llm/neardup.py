@@ -145,12 +145,13 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, per
 
 def _rest_of_buckets(members: DataFrame, nodes: DataFrame, texts: DataFrame, found: DataFrame, k: int, percent: int,
                      miss: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and are similar, but for a slack of two shingles.
+    """Pairs (a, b) of different components that share a bucket and are similar enough.
 
     Nodes that buckets of several components connect are a cluster. In a cluster, the nodes outside of its largest
-    component meet all nodes. Both are cut into blocks of BLOCK_NODES, and inside a task signatures and then 32-bit
-    shingle hashes are compared, so pairs become rows only where they are links. A node goes along with its set once
-    for each block that it meets, not once for each bucket.
+    component meet all nodes. Both are cut into blocks of BLOCK_NODES, and inside a task signatures and then full sets
+    are compared, so pairs become rows only where they are links. A node goes along with its set once for each block
+    that it meets, not once for each bucket. The sets are those by which links are confirmed, so of the links of a node
+    to one component any is as good as all.
     """
     held = (members.select("key", "node").join(found, "node", "left")
             .select("key", "node", F.coalesce("component", "node").alias("component")))
@@ -170,8 +171,7 @@ def _rest_of_buckets(members: DataFrame, nodes: DataFrame, texts: DataFrame, fou
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1), k)[0]
-            small = [np.sort((x >> np.uint64(32)).astype("<u4")).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
     placed = own.join(plan, "cluster")
     wanted = texts.join(placed.select("node").distinct(), "node", "left_semi").select("node", "text")
@@ -187,7 +187,7 @@ def _rest_of_buckets(members: DataFrame, nodes: DataFrame, texts: DataFrame, fou
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, side, minor, node, own, signature, shingles in sorted_runs(batches):
             signs = np.frombuffer(b"".join(signature), ">u2").reshape(len(node), BANDS, ROWS)
-            sets = [np.frombuffer(x, "<u4") for x in shingles]
+            sets = [np.frombuffer(x, "<u8") for x in shingles]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
@@ -211,13 +211,10 @@ def _rest_of_buckets(members: DataFrame, nodes: DataFrame, texts: DataFrame, fou
                 present[mine] = True
                 both, total = np.add.reduceat(present[flat].astype(np.int64), starts)[at], sizes[i] + sizes[right[at]]
                 present[mine] = False
-                linked = lambda n: 100 * n >= percent * (total - n)  # noqa: B023, E731
-                # a sure link joins two components, so one is enough; close calls are all looked at again
-                sure = at[linked(both - 2)]
-                sure = sure[np.unique(own[right[sure]], return_index=True)[1]]
-                close = at[linked(both + 2) & ~np.isin(own[right[at]], own[right[sure]])]
-                one += [node[i]] * (len(sure) + len(close))
-                two += node[right[np.append(sure, close)]].tolist()
+                at = at[100 * both >= percent * (total - both)]
+                at = at[np.unique(own[right[at]], return_index=True)[1]]  # a link joins two components, so one is enough
+                one += [node[i]] * len(at)
+                two += node[right[at]].tolist()
             if one:
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["a", "b"])
 
