@@ -101,6 +101,8 @@ def nearest(vectors: DataFrame, n: int = 5, every: int = 50, tables: int = TABLE
     Nearest first, equal scores by smaller vec_id; a query's own row is no candidate. Vectors that are null, zero or
     hold null or non-finite components take no part, nor do those of another length than most. A vec_id with
     several vectors is a candidate with each, and is listed with the nearest one. An empty table has no queries.
+    A query that meets fewer than n + 1 entries in all of its cells is compared with every entry, in blocks, so each
+    query has n rows, or as many as there are candidates.
     """
     spark, out_kind = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, vec_id, embedding)
@@ -181,8 +183,30 @@ def nearest(vectors: DataFrame, n: int = 5, every: int = 50, tables: int = TABLE
             out.append(pd.DataFrame({"query": query, "rep": reps, "near": near.astype(float)}))
         return pd.concat(out)
 
-    found = left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(meet, "query long, rep long, near double")
-    found = found.groupBy("query", "rep").agg(F.max("near").alias("near"))
+    meeting = "query long, rep long, near double"
+    found = left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(meet, meeting)
+    found = written(found.groupBy("query", "rep").agg(F.max("near").alias("near")), "found")
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                single = [x.tobytes() for x in _unit(_vectors(batch.column(1))).astype("<f4")]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(single, pa.binary())], ["rep", "unit"])
+
+    seen = found.groupBy("query").agg(F.count("*").alias("seen"))
+    short = queries.select(F.col("rep").alias("query"), "v").join(seen, "query", "left").where(F.coalesce("seen", F.lit(0)) < min(n + 1, count))
+    short = written(short.select("query", "v"), "short")
+    if missing := short.count():
+        parts, blocks = ceil(count / GROUP), ceil(missing / GROUP)
+        each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
+        own = lambda column, many: F.pmod(F.xxhash64(column), F.lit(many).cast("long"))
+        block, nowhere = F.xxhash64("part", "block").alias("g"), F.lit(0).cast("long")
+        left = (entries.select("rep", "v").mapInArrow(units, "rep long, unit binary").withColumn("part", own("rep", parts))
+                .withColumn("block", each(blocks)).select(block, nowhere.alias("cell"), "rep", "unit"))
+        right = (short.withColumn("block", own("query", blocks)).withColumn("part", each(parts))
+                 .select(block, "query", F.array(nowhere).alias("cells"), "v"))
+        found = found.union(left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(meet, meeting)).groupBy("query", "rep").agg(
+            F.max("near").alias("near"))
     ranked = Window.partitionBy("query").orderBy(F.desc("near"))
     bar = F.coalesce(F.nth_value("near", n + 1).over(ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(-2.0))
     found = found.withColumn("bar", bar).where(F.col("near") >= F.col("bar") - SLACK).select("query", "rep")
