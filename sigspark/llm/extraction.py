@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 #: Feature buckets, pages that are learnt from at most, training rounds.
 SIZE, FIT_PAGES, ROUNDS = 1 << 14, 300, 30
 
-#: Fixed values of HTML: elements that end a block, have no end tag, whose content is no text, and that end an open one.
+#: Fixed values of HTML: elements that end a block, have no end tag, whose content is no text,
+#: that stand in a head, whose content knows self-closed elements, and that end an open one.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary "
     "table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript head title iframe object svg math canvas audio video textarea select button".split())
+SILENT = frozenset("script style template noscript head title iframe svg annotation annotation-xml canvas audio video textarea select button".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(("svg", "math"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 _SCOPES = {"p": BLOCKS - {"p"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
@@ -50,35 +53,56 @@ def set_apart(tag: str, marks: str) -> bool:
     return tag in _OUTSIDE or bool(ASIDE.search(marks))
 
 
+class Element:
+    """An open element with its parent, and what the elements from the page down to it come to: their tags, and the
+    depths of the outermost and innermost article or main and of the innermost that is set apart (-1 for none)."""
+
+    __slots__ = ("tag", "marks", "parent", "depth", "tags", "first", "article", "apart")
+
+    def __init__(self, tag: str, marks: str, parent: Element | None) -> None:
+        self.tag, self.marks, self.parent = tag, marks, parent
+        self.depth, self.tags, self.first, self.article, self.apart = 0, frozenset(), -1, -1, -1
+        if parent:
+            self.depth, self.tags, self.first, self.article, self.apart = parent.depth + 1, parent.tags, parent.first, parent.article, parent.apart
+        if tag not in self.tags:
+            self.tags |= {tag}
+        if tag in ("article", "main"):
+            self.article = self.depth
+            self.first = self.depth if self.first < 0 else self.first
+        if set_apart(tag, marks):
+            self.apart = self.depth
+
+    def above(self) -> Iterator[Element]:
+        """The element and those around it, from the inside."""
+        at: Element | None = self
+        while at:
+            yield at
+            at = at.parent
+
+
 @dataclass
 class Block:
-    """Text of a block, its open elements as (tag, marks), and how much of it is linked."""
+    """Text of a block, the innermost element around it, and how much of it is linked."""
 
     text: str
-    path: tuple[tuple[str, str], ...]
+    at: Element | None
     linked: int = 0
 
 
-@dataclass
-class _Open:
-    tag: str
-    marks: str
-
-
 class _Cutter(HTMLParser):
     """Blocks of a page, for any mark-up: what is never closed ends with its parent, a stray end tag is passed over."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[_Open] = []
+        self.open: list[Element] = []
         self.blocks: list[Block] = []
         self.held: list[str] = []
-        self.silent = self.links = self.linked = 0
+        self.silent = self.links = self.linked = self.foreign = 0
 
     def _end_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self.held)).strip()
         if text:
-            self.blocks.append(Block(text, tuple((x.tag, x.marks) for x in self.open), self.linked))
+            self.blocks.append(Block(text, self.open[-1] if self.open else None, self.linked))
         self.held, self.linked = [], 0
 
     def _pop(self, depth: int) -> None:
@@ -87,6 +111,7 @@ class _Cutter(HTMLParser):
         for x in self.open[depth:]:
             self.silent -= x.tag in SILENT
             self.links -= x.tag == "a"
+            self.foreign -= x.tag in FOREIGN
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -94,8 +119,10 @@ class _Cutter(HTMLParser):
             depth = next((i for i, x in enumerate(self.open) if x.tag == "head"), None)
             if depth is not None:
                 self._pop(depth)
+        elif tag not in HEAD:
+            self._end_head()
         ends, scope = CLOSES.get(tag, {"p"} if tag in BLOCKS else set()), _SCOPES.get(tag, BLOCKS - {"p"})
-        for depth in range(len(self.open) - 1, -1, -1):
+        for depth in range(len(self.open) - 1, -1, -1) if ends else ():
             if self.open[depth].tag in ends:
                 self._pop(depth)
                 if tag not in ("tr", "td", "th", "dt", "dd"):
@@ -111,12 +138,21 @@ class _Cutter(HTMLParser):
         marks = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         if any(k == "hidden" or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs):
             marks += " hidden"
-        self.open.append(_Open(tag, marks))
+        self.open.append(Element(tag, marks, self.open[-1] if self.open else None))
         self.silent += tag in SILENT
         self.links += tag == "a"
+        self.foreign += tag in FOREIGN
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        ends = self.foreign or tag in FOREIGN or tag in SILENT  # elsewhere the slash says nothing
         self.handle_starttag(tag, attrs)
+        if ends and tag not in VOID:
+            self.handle_endtag(tag)
+
+    def _end_head(self) -> None:
+        """Ends a head that is not closed before something that cannot stand in it."""
+        if self.open and self.open[-1].tag == "head":
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
@@ -127,6 +163,8 @@ class _Cutter(HTMLParser):
             self._end_block()
 
     def handle_data(self, data: str) -> None:
+        if self.silent and not data.isspace():
+            self._end_head()
         if not self.silent:
             self.held.append(data)
             if self.links:
@@ -156,17 +194,16 @@ def features(found: list[Block]) -> list[list[int]]:
     """Feature buckets of each block."""
     out = []
     for at, block in enumerate(found):
-        tags = [tag for tag, _ in block.path]
+        around = block.at
         words = block.text.count(" ") + 1
-        names = ["bias", "tag:" + (tags[-1] if tags else ""), f"words:{min(words, 400).bit_length()}",
+        names = ["bias", "tag:" + (around.tag if around else ""), f"words:{min(words, 400).bit_length()}",
                  f"linked:{min(3, 4 * block.linked // max(1, len(block.text)))}", f"end:{block.text[-1] in '.!?:;…。'}",
                  f"place:{'first' if at == 0 else 'last' if at == len(found) - 1 else 'inner'}",
                  f"sign:{block.text[0] in '©®'}"]
-        names += ["in:" + tag for tag in set(tags)]
-        inside = next((i for i in range(len(tags) - 1, -1, -1) if tags[i] in ("article", "main")), None)
-        names.append(f"article:{inside is not None}")
-        outer = [i for i, (tag, marks) in enumerate(block.path) if set_apart(tag, marks)]
-        names.append("outside:" + ("none" if not outer else "below" if inside is None or outer[-1] > inside else "above"))
+        names += ["in:" + tag for tag in (sorted(around.tags) if around else ())]
+        inside, apart = (around.article, around.apart) if around else (-1, -1)
+        names.append(f"article:{inside >= 0}")
+        names.append("outside:" + ("none" if apart < 0 else "below" if apart > inside else "above"))
         ids = []
         for name in names:
             if name not in _KNOWN:
@@ -183,11 +220,7 @@ def told(found: list[Block]) -> list[int]:
 
     None of the blocks if the page has neither element; then it is not learnt from.
     """
-    out = []
-    for block in found:
-        inside = next((i for i, (tag, _) in enumerate(block.path) if tag in ("article", "main")), None)
-        out.append(int(inside is not None and not any(set_apart(tag, marks) for tag, marks in block.path[inside + 1:])))
-    return out
+    return [int(block.at is not None and block.at.first >= 0 and block.at.apart <= block.at.first) for block in found]
 
 
 @dataclass
@@ -276,15 +309,18 @@ def training_pages() -> list[tuple[list[list[int]], list[int]]]:
         after = [apart[i] for i in random.integers(0, len(apart), random.integers(0, 3))]
         html = "<html><body>" + "".join(parts) + begin + "".join(inner) + end + "".join(after) + f"<footer>&copy; {line}</footer></body></html>"
         found = blocks(html)
-        labels = [int(any(marks == "c" for _, marks in block.path)) for block in found]
+        labels = [int(any(x.marks == "c" for x in block.at.above())) for block in found]
         for block in found:
-            block.path = tuple(x for x in block.path if x[1] != "c")
+            kept, block.at = [x for x in block.at.above() if x.marks != "c"], None
+            for x in reversed(kept):
+                block.at = Element(x.tag, x.marks, block.at)
         out.append((features(found), labels))
     return out
 
 
 def fit(pages: DataFrame, html: str = "html", url: str = "url", most: int = FIT_PAGES) -> Field:
-    """Fits a field on the written pages above and on at most `most` pages of the corpus that tell their article.
+    """Fits a field on the written pages above and on at most `most` pages of the corpus that tell their article and
+    have fewer than 50,000 characters.
 
     The pages of the smallest url hashes are taken; features are made where the pages are, and one task learns.
     """
