@@ -277,3 +277,36 @@ def test_every_dealt_query_is_registered():
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_few_candidates_are_all_found(spark):
+    rows = [(50, [-1.0, 0.0, 0.1]), *[(i, [1.0, 0.01 * i, 0.0]) for i in range(1, 6)]]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.query_id, r.rank) for r in found} == {(50, i) for i in range(1, 6)} and len({r.vec_id for r in found}) == 5
+    rng = np.random.default_rng(3)
+    many = [(i, [1.0, *(0.05 * rng.normal(size=15)).tolist()]) for i in range(1, 3000) if i % 50] + [(50 * i, [-1.0, *(0.05 * rng.normal(size=15)).tolist()]) for i in range(1, 4)]
+    # with one cell for each query these three meet themselves and each other at most
+    found = ann.nearest(spark.createDataFrame(many, "vec_id long, embedding array<double>"), tables=1, probes=1).collect()
+    ids, x = np.array([i for i, _ in many]), np.array([v / np.linalg.norm(v) for _, v in many])
+    for q in (50, 100, 150):
+        score = x @ x[ids == q][0]
+        score[ids == q] = -2
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == ids[np.argsort(-score)[:5]].tolist()
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><svg class='i'/><p>Text of it.</p></article>", "Text of it."),
+    ("<article><svg><path d='x'/><g><title>no</title></g></svg><p>Text.</p></article>", "Text."),
+    ("<article><math/><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "If x=2 holds."),
+    ("<head><meta charset='x'><title>no</title><article><p>Text.</p></article>", "Text."),
+    ("<html><head><link href='x'><noscript><img src='y'></noscript>Text <b>bold</b>", "Text bold"),
+    ("<p>a<script src='x'/>b</p><iframe src='y'/><p>c</p>", "ab|c"),
+    ("<p>Watch <object data='x'>the film</object> now</p>", "Watch the film now")])
+def test_blocks_keep_what_is_text(html, text):
+    assert "|".join(b.text for b in extraction.blocks(html)) == text
+
+
+def test_deep_nesting_is_linear():
+    n = 20_000
+    found = extraction.blocks("<article>" + "<div>x" * n)
+    assert len(found) == n and found[-1].at.depth == n and len(extraction.features(found)) == n and extraction.told(found) == [1] * n
