@@ -74,9 +74,10 @@ def _options(a) -> Options:
 
 
 def _reads(spark, path):
-    if path.endswith(fastq.SUFFIXES):
+    pattern = any(c in path for c in "*?[{")
+    if path.endswith(fastq.SUFFIXES) and not pattern:
         return fastq.read_fastq(spark, path).withColumn("ordinal", F.struct("file", "record"))
-    if path.endswith(".gz"):
+    if path.endswith((".gz", *fastq.SUFFIXES)):
         return sequences.read_fastx(spark, path).withColumn("ordinal", F.struct("file", "record"))
     return sequences.read_fasta(spark, path)
 

@@ -12,7 +12,7 @@ from sigspark.harness import views as V
 from sigspark.harness.registry import query
 from sigspark.harness.views import sql
 from sigspark.operators import alignments as A
-from sigspark.sources import bam, sequences
+from sigspark.sources import bam, fastq, sequences
 
 CONTIGS = [(f"ctg{i}", 20_000) for i in range(5)]
 _SPAN = "alignments ops spans"
@@ -74,3 +74,15 @@ def bam_bed_scan(spark, sf):
         ((o * 13) % 9000).alias("beg"), ((o * 13) % 9000 + 40).alias("end"))
     wanted = [(r["contig"], max(r["beg"] - 1, 0), r["end"]) for r in bed.toLocalIterator()]
     return A.bed_overlap(bam.read_bam(spark, path, wanted), bed).select("region_id", "read_id")
+
+
+@query("fastq_scan", sql("reads", """SELECT CAST(read_id AS VARCHAR) AS read_id, 'doc' AS comment, md5(coalesce(seq, '')) AS seq_md5,
+    CAST(length(coalesce(seq, '')) AS INTEGER) AS n_bases, CAST(length(coalesce(seq, '')) AS INTEGER) AS n_quals FROM reads"""))
+def fastq_scan(spark, sf):
+    """The reads as FASTQ files whose quality lines look like name lines, every file in many tasks."""
+    path, seq = scratch(spark), F.coalesce("seq", F.lit(""))
+    V.reads(spark, sf).select(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit(" doc\n"), seq, F.lit("\n+\n"),
+                                       F.repeat(F.lit("@"), F.length(seq)))).write.text(path)
+    return fastq.read_fastq(spark, path, split_bytes=50_000, suffix=".txt").select(
+        "read_id", "comment", F.md5(F.col("seq")).alias("seq_md5"), F.length("seq").alias("n_bases"),
+        F.length(F.coalesce("qual", F.lit(""))).alias("n_quals"))

@@ -25,14 +25,14 @@ SUFFIXES = (".fastq", ".fq")
 SPLIT_BYTES, READ, HELD = 128 << 20, 1 << 20, 8 << 20
 
 
-def files_of(path: str) -> list[tuple[str, int]]:
-    """(file, size) of a file, or of the FASTQ files below a folder."""
+def files_of(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[tuple[str, int]]:
+    """(file, size) of a file, or of the files below a folder that end so."""
     filesystem, name = pafs.FileSystem.from_uri(path.replace("file:///", "/"))
     info = filesystem.get_file_info(name)
     if info.type == pafs.FileType.File:
         return [(path, info.size)]
     found = filesystem.get_file_info(pafs.FileSelector(name, recursive=True))
-    return sorted((i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(SUFFIXES))
+    return sorted((i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(suffixes))
 
 
 def lines_from(stream, at: int) -> Iterator[tuple[int, bytes]]:
@@ -142,7 +142,7 @@ def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq_ranges").load(path)``; option ``split_bytes``."""
+    """``spark.read.format("fastq_ranges").load(path)``; options ``split_bytes`` and ``suffix``."""
 
     @classmethod
     def name(cls):
@@ -152,7 +152,8 @@ class FastqSource(DataSource):
         return FASTX_SCHEMA
 
     def reader(self, schema):
-        return FastqReader(files_of(self.options["path"]), schema, int(self.options.get("split_bytes", SPLIT_BYTES)))
+        suffixes = (self.options["suffix"],) if "suffix" in self.options else SUFFIXES
+        return FastqReader(files_of(self.options["path"], suffixes), schema, int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
 def read_fastq(spark: SparkSession, path: str, **options) -> DataFrame:
