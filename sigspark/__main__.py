@@ -69,7 +69,7 @@ def _options(a) -> Options:
         min_mapq=a.min_mapq, secondary=a.secondary == "yes", skip_unreadable=a.skip_unreadable == "yes",
         ultra_threshold=a.ultra_thresh if a.skip_ultra else None,
         region=None if a.window and a.window.endswith(".bed") else a.window, rna=a.rna,
-        min_events_to_rescale=a.min_recalib_events, call_version=a.meth_out_version, read_names=a.print_read_names,
+        min_events_to_rescale=a.min_recalib_events, prefilter=bool(a.window), call_version=a.meth_out_version, read_names=a.print_read_names,
         scale_events=a.scale_events, signal_index=a.signal_index, samples=a.samples, collapse=a.collapse_events)
 
 
@@ -170,7 +170,8 @@ def _signal_verbs(spark, a, opts) -> None:
         return
     raw = None
     if opts.samples or opts.collapse:
-        raw = jobs.picoamps(signals, alignments)
+        kept = jobs.selected(alignments, opts)
+        raw = jobs.picoamps(jobs.wanted_signals(signals, kept, opts), kept)
     columns = tsv.eventalign_columns(opts.read_names, opts.signal_index, opts.samples)
     events = jobs.event_table(rows, opts, raw).orderBy("aln_id", "idx")
     tsv.write_lines(events, tsv.eventalign_lines(columns), columns, a.output)

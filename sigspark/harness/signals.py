@@ -236,6 +236,16 @@ def signal_join(spark, sf):
     return rows.select("aln_id", F.size("raw").alias("n_samples"))
 
 
+@query("signal_prefilter", sql("signal alignments", """, n AS (SELECT read_id, CAST(count(*) AS INTEGER) AS n_samples, CAST(sum(v) AS BIGINT) AS total FROM signal GROUP BY read_id)
+  SELECT aln_id, n.read_id, n_samples, total FROM alignments a JOIN n ON a.read_id = n.read_id
+  WHERE (flag & 4) = 0 AND mapq >= 20 AND (flag & 256) = 0 AND contig = 'ctg3' AND pos < 2000"""))
+def signal_prefilter(spark, sf):
+    chosen = A.usable_alignments(V.alignments(spark, sf)).where("contig = 'ctg3' and pos < 2000")
+    wanted = A.wanted_signals(V.raw_arrays(spark, sf), chosen.select("read_id"))
+    return A.join_signals(chosen, wanted).select("aln_id", "read_id", F.size("raw").alias("n_samples"),
+                                                 F.aggregate("raw", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("total"))
+
+
 @query("ultra_long_split", sql("reads", "SELECT read_id, length(seq) > 5000 AS set_aside FROM reads"))
 def ultra_long_split(spark, sf):
     kept, aside = A.split_ultra_long(V.reads(spark, sf), 5000)

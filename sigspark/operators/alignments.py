@@ -14,6 +14,8 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 DEFAULT_BIN = 1 << 14
 #: Bases of the pieces that a broadcast contig is cut into, so that a slice is found without a walk through it.
 BROADCAST_TILE = 1 << 12
+#: Bits of a filter of reads for each read, bits that a read sets, bits of a block (those of a bitmap aggregate).
+FILTER_BITS, FILTER_PROBES, FILTER_BLOCK = 12, 4, 1 << 15
 
 
 def usable_alignments(alignments: DataFrame, min_mapq: int = 20, secondary: bool = False) -> DataFrame:
@@ -111,11 +113,38 @@ def join_reads(alignments: DataFrame, reads: DataFrame) -> DataFrame:
         "seq", F.coalesce("seq", F.lit("")))
 
 
+def wanted_signals(signals: DataFrame, wanted: DataFrame,
+                   max_filter_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Signals of the reads in ``wanted`` and about one in a hundred of the others, for a place ahead of their shuffle.
+
+    A blocked Bloom filter: one hash of a read id names a block of bits, others the bits in it, so a
+    signal meets one row of a broadcast table. The filter is sized by the counted rows of ``wanted``.
+    Beyond ``max_filter_bytes`` there is none and all signals pass. Null ids are in no filter.
+    """
+    blocks = wanted.count() * FILTER_BITS // FILTER_BLOCK + 1
+    if blocks * (FILTER_BLOCK // 8) > max_filter_bytes:
+        return signals
+    name = F.col("read_id").cast("string")
+    block = F.pmod(F.xxhash64(name), F.lit(blocks))
+    bits = [F.pmod(F.xxhash64(name, F.lit(i)), F.lit(FILTER_BLOCK)) for i in range(FILTER_PROBES)]
+    held = (wanted.where("read_id is not null").select(block.alias("_block"), F.explode(F.array(*bits)).alias("_bit"))
+            .groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+
+    def is_set(bit: Column) -> Column:
+        byte = F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+        return F.call_function("getbit", F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
+
+    met = signals.withColumn("_block", block).join(F.broadcast(held), "_block")
+    for bit in bits:
+        met = met.where(is_set(bit))
+    return met.select(*signals.columns)
+
+
 def join_signals(rows: DataFrame, signals: DataFrame, skip_unreadable: bool = True) -> DataFrame:
     """Join the raw signals of the surviving reads.
 
-    The signals are by far the largest input; this inner join lets Spark push a runtime filter of
-    the wanted read ids below their shuffle. With ``skip_unreadable`` off a read without signal
+    The signals are by far the largest input; ``wanted_signals`` keeps those of other reads out of
+    their shuffle. With ``skip_unreadable`` off a read without signal
     fails the job.
     """
     if skip_unreadable:

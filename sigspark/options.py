@@ -24,6 +24,7 @@ class Options:
     collapse: bool = False
     call_threshold: float = 2.5
     split_groups: bool = False
+    prefilter: bool = False                 # few reads are wanted: a filter of their ids goes ahead of the signal shuffle (a region implies it)
     colocated: bool = False                 # inputs are bucketed by read_id already
     reference_tile: int = 1 << 16
     max_broadcast_bytes: int = 64 << 20

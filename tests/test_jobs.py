@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.functions.values import parse_region
 from sigspark.kernels.calibrate import PoreModel
 from sigspark.kernels.reference import reverse_complement
-from sigspark.operators import squiggle
+from sigspark.operators import alignments as A, frequency, squiggle
 from sigspark.options import Options
 from sigspark.plans import jobs
 from sigspark.sources import tsv
@@ -226,6 +227,27 @@ def test_signals_move_once(spark, data):
     assert "REPARTITION" not in bucketed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_unwanted_signals_do_not_move(spark, data):
+    ids = spark.range(200_000).select(F.concat(F.lit("read-"), "id").alias("read_id"), F.lit(1).alias("raw"))
+    wanted = ids.where("substring(read_id, -1) = '7'").select("read_id")
+    repeated = wanted.union(wanted.limit(50)).union(spark.sql("select cast(null as string)"))
+    kept = A.wanted_signals(ids, repeated)
+    assert kept.columns == ids.columns and kept.join(wanted, "read_id", "left_semi").count() == 20_000
+    assert kept.count() - 20_000 < 0.02 * 180_000
+    assert A.wanted_signals(ids, wanted.limit(0)).count() == 0
+    assert A.wanted_signals(ids, wanted, max_filter_bytes=0) is ids
+    reads, alignments, signals, reference, _ = data
+    spark.catalog.clearCache()
+    few = jobs.call_methylation(reads, alignments, signals, reference, PLAIN, MARKED, Options(region="chr:20-280"))
+    text = few._jdf.queryExecution().optimizedPlan().toString()
+    moved = text[text.rindex("RepartitionByExpression"):]       # the last one is that of the signals
+    assert "bitmap_construct_agg" in moved and "strategy=broadcast" in moved and "raw" in moved
+    whole = jobs.call_methylation(reads, alignments, signals, reference, PLAIN, MARKED)
+    inside = frequency.clip_to_window(whole, *parse_region("chr:20-280")[1:])
+    found = sorted(few.collect())
+    assert len({r["read_name"] for r in found}) == 3 and found == sorted(inside.collect())
+
+
 def write_inputs(spark, data, folder):
     from sigspark.sources import slow5
     reads, alignments, signals, _, _ = data
