@@ -12,6 +12,8 @@ from sigspark.functions.values import parse_region
 UNMAPPED, REVERSE, SECONDARY = 4, 16, 256
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 DEFAULT_BIN = 1 << 14
+#: Regions of a crowded bin that are met without a smaller one, and the smallest bin.
+BIN_REGIONS, LEAST_BIN = 16, 64
 #: Bases of the pieces that a broadcast contig is cut into, so that a slice is found without a walk through it.
 BROADCAST_TILE = 1 << 12
 #: Bits of a filter of reads for each read, bits that a read sets, bits of a block (those of a bitmap aggregate).
@@ -54,7 +56,21 @@ def region_filter(alignments: DataFrame, region: str) -> DataFrame:
                             & (F.col("aln_end") > beg))
 
 
-def bed_overlap(alignments: DataFrame, bed: DataFrame, bin_size: int = DEFAULT_BIN,
+def bin_for(regions: DataFrame) -> int:
+    """A power of two as bin size: DEFAULT_BIN, or smaller where its bins hold more than BIN_REGIONS regions, but not below their width.
+
+    Every alignment in a bin meets every region in it, so crowded bins would cost the product of both.
+    """
+    ends = regions.select("_rc", "_re", F.explode(F.array(F.expr(f"_rb div {DEFAULT_BIN}"), F.expr(f"(_re - 1) div {DEFAULT_BIN}"))).alias("_at"), F.expr("_re - _rb").alias("_w"))
+    bins = ends.groupBy("_rc", "_at").agg(F.count("*").alias("n"), F.sum("_w").alias("w"))
+    n, full, width = bins.agg(F.sum("n") / 2, F.max("n") / 2, F.sum("w") / 2).first()
+    if not n or full <= BIN_REGIONS:
+        return DEFAULT_BIN
+    size = max(DEFAULT_BIN * BIN_REGIONS / float(full), float(width) / float(n), LEAST_BIN)
+    return min(1 << (int(size) - 1).bit_length(), DEFAULT_BIN)
+
+
+def bed_overlap(alignments: DataFrame, bed: DataFrame, bin_size: int | None = None,
                 max_broadcast_rows: int = 100_000) -> DataFrame:
     """Every (region, alignment) pair that overlaps, duplicates included, nothing clipped.
 
@@ -62,11 +78,12 @@ def bed_overlap(alignments: DataFrame, bed: DataFrame, bin_size: int = DEFAULT_B
     than its file says. Both sides are cut into bins and met by an equality join on
     (contig, bin); a pair sharing several bins is kept in the first common one only. Regions are
     broadcast if they lie in few bins, counted from their ends alone; else they are shuffled, where
-    AQE can split a bin that holds very many alignments.
+    AQE can split a bin that holds very many alignments. Without a bin size, that of ``bin_for`` is taken.
     """
     regions = bed.select("region_id", F.col("contig").alias("_rc"),
                          F.greatest(F.col("beg") - 1, F.lit(0)).alias("_rb"), F.col("end").alias("_re"))
     regions = regions.where("_re > _rb")
+    bin_size = bin_size or bin_for(regions)
     bins = regions.agg(F.sum(F.expr(f"(_re - 1) div {bin_size} - _rb div {bin_size} + 1"))).first()[0]
     small = (bins or 0) <= max_broadcast_rows
     left = alignments.withColumn("_bin", F.explode(F.sequence(

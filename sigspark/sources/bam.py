@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -350,47 +351,78 @@ def index_bam(spark: SparkSession, path: str, **options) -> None:
     write_sidecars(rows.repartition("file").sortWithinPartitions("file").mapInArrow(build, "target string, data binary"))
 
 
-def region_chunks(index: bytes, contig: int, begin: int, end: int) -> list[tuple[int, int]]:
-    """Virtual ranges that hold every record overlapping [begin, end) of a contig, in order and without overlap."""
+def chunks_of(index: bytes, contig: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Virtual ranges that hold every record overlapping one of the spans [begin, end) of a contig; of a span in order and without overlap."""
     if index[:4] != INDEX_MAGIC:
         raise ValueError("not a binning index")
-    end = min(end, 1 << 29)
-    wanted, at = bins_of(begin, end) if begin < end else [], 8
+    at = 8
     for number in range(struct.unpack_from("<i", index, 4)[0]):
-        found, n_bins = [], struct.unpack_from("<i", index, at)[0]
+        bins, n_bins = {}, struct.unpack_from("<i", index, at)[0]
         at += 4
         for _ in range(n_bins):
             name, n = struct.unpack_from("<Ii", index, at)
             at += 8
-            if number == contig and any(a <= name <= b for a, b in wanted):
-                found += [struct.unpack_from("<QQ", index, at + 16 * i) for i in range(n)]
+            if number == contig:
+                bins[name] = [struct.unpack_from("<QQ", index, at + 16 * i) for i in range(n)]
             at += 16 * n
         n = struct.unpack_from("<i", index, at)[0]
         if number == contig:
-            window = min(begin >> WINDOW, n - 1)
-            least = struct.unpack_from("<Q", index, at + 4 + 8 * window)[0] if n else 0
-            out: list[list[int]] = []
-            for a, b in sorted(c for c in found if c[1] > least):
-                if out and a <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], b)
-                else:
-                    out.append([max(a, least), b])
-            return [(a, b) for a, b in out]
+            least = struct.unpack_from(f"<{n}Q", index, at + 4)
+            return list(dict.fromkeys(chunk for span in spans for chunk in _span_chunks(bins, least, *span)))
         at += 4 + 8 * n
     return []
 
 
+def region_chunks(index: bytes, contig: int, begin: int, end: int) -> list[tuple[int, int]]:
+    """Virtual ranges that hold every record overlapping [begin, end) of a contig, in order and without overlap."""
+    return chunks_of(index, contig, [(begin, end)])
+
+
+def _span_chunks(bins: dict[int, list[tuple[int, int]]], windows: tuple[int, ...], begin: int, end: int) -> list[tuple[int, int]]:
+    end = min(end, 1 << 29)
+    wanted = bins_of(begin, end) if begin < end else []
+    names = [n for a, b in wanted for n in (range(a, b + 1) if b - a < len(bins) else [x for x in bins if a <= x <= b])]
+    least = windows[min(begin >> WINDOW, len(windows) - 1)] if windows else 0
+    out: list[list[int]] = []
+    for a, b in sorted(c for n in names for c in bins.get(n, ()) if c[1] > least):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([max(a, least), b])
+    return [(a, b) for a, b in out]
+
+
+def records_of(blocks: Blocks, contigs: list[tuple[str, int]], index: bytes, regions: list[tuple[str, int, int]]) -> Iterator[tuple[int, bytes, int]]:
+    """(virtual offset, record, begin of the next region) of what may overlap sorted regions without overlap.
+
+    Regions of a contig share bins, so their blocks are joined and read once, however many regions there are. A record
+    overlaps one of them if it reaches beyond the begin of the first that does not end before it.
+    """
+    numbers = {name: i for i, (name, _) in enumerate(contigs)}
+    for contig, group in groupby(regions, key=lambda region: region[0]):
+        if (number := numbers.get(contig)) is None:
+            continue
+        spans = [(begin, end) for _, begin, end in group]
+        ends, joined = [end for _, end in spans], []
+        for low, high in sorted(chunks_of(index, number, spans)):
+            if joined and low <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], high)
+            else:
+                joined.append([low, high])
+        for low, high in joined:
+            blocks.jump(low >> 16, low & 0xFFFF)
+            while (at := blocks.virtual()) < high:
+                body = blocks.take(struct.unpack("<i", blocks.take(4))[0])
+                own, pos = struct.unpack_from("<ii", body)
+                if own != number or pos >= ends[-1]:  # sorted by position
+                    break
+                yield at, body, spans[bisect_right(ends, pos)][0]
+
+
 def region_records(blocks: Blocks, contigs: list[tuple[str, int]], index: bytes, contig: str, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(virtual offset, record) of what may overlap a region, reading the blocks of its bins only."""
-    number = next((i for i, (name, _) in enumerate(contigs) if name == contig), None)
-    for low, high in region_chunks(index, number, begin, end) if number is not None else ():
-        blocks.jump(low >> 16, low & 0xFFFF)
-        while (at := blocks.virtual()) < high:
-            body = blocks.take(struct.unpack("<i", blocks.take(4))[0])
-            own, pos = struct.unpack_from("<ii", body)
-            if own != number or pos >= end:  # sorted by position
-                break
-            yield at, body
+    for at, body, _ in records_of(blocks, contigs, index, [(contig, begin, end)]):
+        yield at, body
 
 
 # ---- source
@@ -401,6 +433,7 @@ class Part(InputPartition):
     begin: int
     end: int
     regions: list[tuple[str, int, int]] | None = None
+    before: tuple[str, int, int] = ("", 0, 0)  # the region ahead of these, whose records another task gives
 
 
 def _intervals(regions: list) -> list[tuple[str, int, int]]:
@@ -444,8 +477,8 @@ class BamReader(DataSourceReader):
             filesystem, name = pafs.FileSystem.from_uri(file.replace("file:///", "/"))
             indexed, size = filesystem.get_file_info([name + ".bai", name])
             if regions is not None and not self.index_only and indexed.type == pafs.FileType.File:
-                # neighbouring regions stay together, so a record in two of them is seen by one task
-                out += [Part(file, i, -1, regions[i:i + 256]) for i in range(0, len(regions), 256)]
+                # neighbouring regions stay together
+                out += [Part(file, i, -1, regions[i:i + 256], regions[i - 1] if i else ("", 0, 0)) for i in range(0, len(regions), 256)]
             else:
                 with open_file(file) as f:
                     step = self.split_bytes if block_size(f.read(64)) else size.size
@@ -472,14 +505,12 @@ class BamReader(DataSourceReader):
         if part.regions is not None:
             with open_file(part.file + ".bai") as f:
                 index = f.read()
-            before, place = ("", 0, 0), 0
-            for contig, begin, end in part.regions:
-                for _, body in region_records(blocks, contigs, index, contig, begin, end):
-                    row = parsed(body, contigs, self.bases)
-                    if row[8] > begin and not (before[0] == contig and row[3] < before[2]):
-                        yield (*row, part.file, part.begin, place)
-                        place += 1
-                before = contig, begin, end
+            place, (name, _, reach) = 0, part.before
+            for _, body, begin in records_of(blocks, contigs, index, part.regions):
+                row = parsed(body, contigs, self.bases)
+                if row[8] > begin and not (row[2] == name and row[3] < reach):
+                    yield (*row, part.file, part.begin, place)
+                    place += 1
         else:
             for place, (_, body, _) in enumerate(range_records(part.file, part.begin, part.end)):
                 yield (*parsed(body, contigs, self.bases), part.file, part.begin, place)

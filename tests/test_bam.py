@@ -112,3 +112,29 @@ def test_damage_is_told(spark, files, tmp_path):
         (tmp_path / name).write_bytes(bad)
         with pytest.raises(Exception, match="damaged|truncated"):
             bam.read_bam(spark, str(tmp_path / name)).count()
+
+
+def test_blocks_of_many_regions_are_read_once(spark, tmp_path, monkeypatch):
+    """Regions of one bin share their blocks, and a record in regions of two tasks is given by one."""
+    path = f"{tmp_path}/dense"
+    rows = spark.range(2000).selectExpr("cast(id as string) read_id", "0 flag", "'c1' contig", "cast(id * 5 as int) pos", "60 mapq",
+                                        "if(id = 100, '9000M', '20M') cigar", "'*' seq", "0 nm").coalesce(1)
+    bam.write_bam(rows, path, [("c1", 20_000)])
+    bam.index_bam(spark, path)
+    regions = [("c1", i * 20, i * 20 + 5) for i in range(500)]
+    ids = [r.read_id for r in bam.read_bam(spark, path, regions).collect()]
+    bed = spark.createDataFrame([(i, c, b + 1, e) for i, (c, b, e) in enumerate(regions)], "region_id int, contig string, beg int, end int")
+    want = {r.read_id for r in A.bed_overlap(bam.read_bam(spark, path), bed, bin_size=1 << 14).collect()}
+    assert len(ids) == len(set(ids)) and set(ids) == want
+    file = next(str(f) for f in (tmp_path / "dense").glob("*.bam"))
+    blocks, taken = bam.Blocks(file), []
+    contigs = bam.read_head(blocks)
+    real = blocks.take
+    monkeypatch.setattr(blocks, "take", lambda n: taken.append(n) or real(n))
+    list(bam.records_of(blocks, contigs, open(file + ".bai", "rb").read(), regions))
+    assert len(taken) <= 2 * 2000 + 4
+
+
+def test_crowded_bins_are_made_smaller(spark):
+    bed = spark.range(2000).selectExpr("id region_id", "'c1' _rc", "cast(id * 4 as int) _rb", "cast(id * 4 + 40 as int) _re")
+    assert A.bin_for(bed) == 256 and A.bin_for(bed.where("region_id % 200 = 0")) == A.DEFAULT_BIN and A.bin_for(bed.where("false")) == A.DEFAULT_BIN
