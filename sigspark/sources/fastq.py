@@ -23,6 +23,8 @@ from sigspark.sources.slow5 import open_file
 SUFFIXES = (".fastq", ".fq")
 #: Bytes of a range, bytes read at once, and bytes of records that are handed on together.
 SPLIT_BYTES, READ, HELD = 128 << 20, 1 << 20, 8 << 20
+#: Ranges of one read beyond which smaller ones than SPLIT_BYTES only add tasks.
+RANGES = 256
 
 
 def files_of(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[tuple[str, int]]:
@@ -35,6 +37,11 @@ def files_of(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[tuple[str,
     return sorted((i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(suffixes))
 
 
+def range_bytes(total: int, split_bytes: int) -> int:
+    """Bytes of a range: those asked for, more where small ranges would be over RANGES tasks."""
+    return max(split_bytes, min(-(-total // RANGES), SPLIT_BYTES))
+
+
 def lines_from(stream, at: int) -> Iterator[tuple[int, bytes]]:
     """(place, line) of the lines that begin at `at` or later."""
     if at:
@@ -115,8 +122,8 @@ class FastqReader(DataSourceReader):
         self.files, self.schema, self.split_bytes = files, schema, split_bytes
 
     def partitions(self):
-        return [Part(file, begin, min(begin + self.split_bytes, size)) for file, size in self.files
-                for begin in range(0, size, self.split_bytes)]
+        step = range_bytes(sum(size for _, size in self.files), self.split_bytes)
+        return [Part(file, begin, min(begin + step, size)) for file, size in self.files for begin in range(0, size, step)]
 
     def read(self, part):
         kind = to_arrow_schema(self.schema)

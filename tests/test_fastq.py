@@ -45,3 +45,12 @@ def test_a_later_record_of_more_lines_is_an_error(tmp_path):
     path.write_text("@a\nA\n+\nI\n@b\nAC\nGT\n+\nIIII\n")
     with pytest.raises(ValueError, match="four lines"):
         list(fastq.range_records(str(path), 0, path.stat().st_size))
+
+
+def test_small_ranges_of_a_large_input_grow(spark, tmp_path):
+    assert fastq.range_bytes(10_000, 1000) == 1000
+    assert fastq.range_bytes(fastq.RANGES * 5000, 1000) == 5000
+    assert fastq.range_bytes(1 << 50, 1000) == fastq.SPLIT_BYTES and fastq.range_bytes(1 << 50, 1 << 40) == 1 << 40
+    (tmp_path / "a.fastq").write_text("@r\nACGT\n+\nIIII\n" * 2000)
+    table = fastq.read_fastq(spark, str(tmp_path), split_bytes=20)
+    assert table.rdd.getNumPartitions() <= fastq.RANGES + 1 and table.count() == 2000
