@@ -125,3 +125,13 @@ def test_general_equals_printf(spark):
     values = [0.0, 1.0, -1.5, 85.123456, 100.0, 123456.0, 999999.4, 999999.6, 1234567.0, 1e-5, 0.0001, 0.00012345678, 9.9999996, 3e20, -2.5e-7]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", stats.general(F.col("v")).alias("t")).collect()
     assert [r["t"] for r in rows] == ["%g" % r["v"] for r in rows]
+
+
+def test_cpg_groups_do_not_leave_their_task(spark):
+    """No window or exchange holds a row for each site, and a batch is scanned in parts."""
+    reads = spark.createDataFrame([(1, "ACG" * 5), (2, None), (3, "GCGTTTTTTTTTTTTTTTCG")], "read_id long, seq string")
+    plan = kmers.cpg_groups(reads)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Generate" not in plan
+    assert sorted(map(tuple, kmers.cpg_groups(reads).collect())) == [(1, 1, 1, 13, 5), (3, 1, 1, 1, 1), (3, 2, 18, 18, 1)]
+    by_one = kmers._groups(__import__("pyarrow").array([7, 8]), ["AC", "GCG"], 10)
+    assert by_one.to_pylist() == [{"read_id": 8, "grp": 1, "first_cpg": 1, "last_cpg": 1, "n_cpg": 1}]
