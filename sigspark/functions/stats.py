@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: log(1 / sqrt(2 pi)) as the six digit constant that all scores share.
@@ -81,11 +83,14 @@ def fixed(x: Column, digits: int) -> Column:
     low = F.floor(size * scale)
     part = size.cast("float").cast("double")
     beyond_tie = (part * (2 * scale) - (2 * low + 1)) + (size - part) * (2 * scale)
-    n = low + F.when((beyond_tie > 0) | ((beyond_tie == 0) & (low % 2 == 1)), 1).otherwise(0)
-    rest = n % scale
-    text = ((n - rest) / scale).cast("long").cast("string")
-    if digits:
-        text = F.concat(text, F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+    # each part is named as seldom as can be: branches repeat what they name, and large code is not compiled
+    n = low + F.when(F.signum(beyond_tie) * 2 + low % 2 > 0, 1).otherwise(0)
+    if digits == 0:
+        text = n.cast("string")
+    elif digits <= 6:   # a decimal of more places may be written with an exponent
+        text = (n.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+    else:
+        text = F.concat(((n - n % scale) / scale).cast("long").cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
     return (F.when(F.isnan(x), F.lit("nan"))
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))

@@ -135,3 +135,18 @@ def test_cpg_groups_do_not_leave_their_task(spark):
     assert sorted(map(tuple, kmers.cpg_groups(reads).collect())) == [(1, 1, 1, 13, 5), (3, 1, 1, 1, 1), (3, 2, 18, 18, 1)]
     by_one = kmers._groups(__import__("pyarrow").array([7, 8]), ["AC", "GCG"], 10)
     assert by_one.to_pylist() == [{"read_id": 8, "grp": 1, "first_cpg": 1, "last_cpg": 1, "n_cpg": 1}]
+
+
+def test_fixed_names_its_parts_seldom(spark):
+    """Branches repeat what they name, and generated code beyond a size is not compiled."""
+    from sigspark.functions import stats
+    rows = spark.createDataFrame([(0.0, "0.00"), (-0.001, "-0.00"), (0.125, "0.12"), (12345678.375, "12345678.38"), (1e15, "1000000000000000.00")], "v double, t string")
+    made = rows.select(stats.fixed(F.col("v"), 2).alias("x"), "t")
+    assert [r.x for r in made.collect()] == [r.t for r in made.collect()]
+    assert made._jdf.queryExecution().analyzed().toString().upper().count("FLOOR(") <= 4
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        assert [spark.range(1).select(stats.fixed(F.lit(0.0), d)).first()[0] for d in (0, 6, 9)] == ["0", "0.000000", "0.000000000"]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
