@@ -541,20 +541,37 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     names = ["doc_id", "first_word", "n_words", "other_id", "other_first_word", "n_equal"]
     kind = ", ".join(f"{name} long" for name in names)
-    spans = both.mapInArrow(align, kind)
+    def align_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only what covers the texts: the stretches of many pairs in a row for each share, so their number makes no rows."""
+        for batch in align(batches):
+            doc, first, n = (c.to_numpy() for c in batch.columns[:3])
+            if len(doc):
+                yield packed(words.mix(doc.view(np.uint64)) >> shift, [doc, first, n])
+
+    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, first, n in _unpacked(batches, (np.int64, np.int64, np.int64)):
+            order = np.argsort(doc, kind="stable")
+            doc, first, n = doc[order], first[order], n[order]
+            cuts, found = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), []
+            for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
+                begin, end = first[low:high], first[low:high] + n[low:high]
+                if (keep := long_cover(begin, end)).any():
+                    begin, end = merged(begin[keep], end[keep])
+                    found.append((np.full(len(begin), doc[low]), begin, end - begin))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names[:3])
+
+    if cover:
+        return (both.mapInArrow(align_packed, "share long, n long, data binary").repartition("share").sortWithinPartitions("share")
+                .mapInArrow(covers, ", ".join(f"{name} long" for name in names[:3])))
 
     def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in sorted_runs(batches):
             keep = long_cover(columns[1], columns[1] + columns[2])
-            if cover:
-                if keep.any():
-                    begin, end = merged(columns[1][keep], (columns[1] + columns[2])[keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), columns[0][0])), pa.array(begin), pa.array(end - begin)], names[:3])
-                continue
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
 
-    return spans.distinct().repartition("doc_id").sortWithinPartitions("doc_id", "first_word", "n_words", "other_id").mapInArrow(
-        long_ones, ", ".join(f"{name} long" for name in names[:3]) if cover else kind)
+    return both.mapInArrow(align, kind).distinct().repartition("doc_id").sortWithinPartitions("doc_id", "first_word", "n_words", "other_id").mapInArrow(
+        long_ones, kind)
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

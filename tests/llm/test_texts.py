@@ -327,3 +327,13 @@ def test_quality_is_learnt_and_held_out(spark, documents):
     one_sided = quality.fit(docs, labels.where("quality = 1"))
     assert all(r.mark > 0.9 for r in quality.scored(docs, one_sided, score="mark").collect())
     assert quality.fit(documents([]), labels).slope == 1.0
+
+
+def test_stretches_move_packed_for_the_pipeline(spark, documents):
+    """Many stretches of one pair of texts are no rows of their own."""
+    parts = [prose(300 + i, 60) for i in range(12)]
+    rows = [(1, " ".join(w for i, part in enumerate(parts) for w in part + prose(400 + i, 300))),
+            (2, " ".join(w for i, part in enumerate(parts[::-1]) for w in part + prose(500 + i, 300)))]
+    cover = passages.repeated_passages(documents(rows), cover=True)
+    assert "align_packed" in cover._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.doc_id == 2 and r.n_words >= 60 for r in cover.collect()) == 12
