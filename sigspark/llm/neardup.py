@@ -14,7 +14,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.llm import words
@@ -28,6 +28,8 @@ MISS = 1e-6
 STEP, BLOCK = 16, 1 << 15
 #: Nodes of a block of a cluster, and tasks that write a table of ids at most.
 BLOCK_NODES, TASKS = 1024, 64
+#: Rows of ids that go to all tasks, so that the texts they name are found without a shuffle.
+NAMED = 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,8 +114,16 @@ def signatures(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "tex
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, mark1 long, mark2 long, signature binary")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def small_side(ids: DataFrame, most: int = NAMED) -> DataFrame:
+    """A written table of ids, broadcast in a join if it is small; the wide rows that it meets then stay where they are."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def _confirmed(pairs: DataFrame, sides: DataFrame, texts: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
+
+    Only the texts of pairs that outlive the screening move, those of a once for each pair, those of b once.
+    """
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -134,22 +144,23 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, per
                     held.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
                 yield some.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    sides = nodes.select("node", "signature")
-    alive = (pairs.join(sides.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-             .join(sides.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-             .select("a", "b", "sa", "sb").mapInArrow(screen, "a long, b long"))
-    full = (alive.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    alive = written(pairs.join(sides.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
+                    .join(sides.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+                    .select("a", "b", "sa", "sb").mapInArrow(screen, "a long, b long").distinct(), "alive")
+    few = small_side(alive)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(few, "a")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(few, "b", "left_semi")
+    full = left.join(right, "b").select("a", "b", "ta", "tb")
     return written(full.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
-def _rest_of_buckets(members: DataFrame, nodes: DataFrame, texts: DataFrame, found: DataFrame, k: int, percent: int,
+def _rest_of_buckets(members: DataFrame, sides: DataFrame, texts: DataFrame, found: DataFrame, k: int, percent: int,
                      miss: float) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and are similar enough.
 
     Nodes that buckets of several components connect are a cluster. In a cluster, the nodes outside of its largest
     component meet all nodes. Both are cut into blocks of BLOCK_NODES, and inside a task signatures and then full sets
-    are compared, so pairs become rows only where they are links. A node goes along with its set once for each block
+    are compared, so pairs become rows only where they are links. A node goes along with its text once for each block
     that it meets, not once for each bucket. The sets are those by which links are confirmed, so of the links of a node
     to one component any is as good as all.
     """
@@ -168,29 +179,22 @@ def _rest_of_buckets(members: DataFrame, nodes: DataFrame, texts: DataFrame, fou
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK_NODES), F.lit(1)).cast("long")
     plan = sizes.where("n > most").select("cluster", "main", blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("most")).alias("columns"))
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1), k)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["node", "shingles"])
-
-    placed = own.join(plan, "cluster")
-    wanted = texts.join(placed.select("node").distinct(), "node", "left_semi").select("node", "text")
-    sets = wanted.mapInArrow(reduce, "node long, shingles binary")
-    placed = placed.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    placed = written(own.join(plan, "cluster").join(sides, "node").coalesce(TASKS), "placed")
+    placed = texts.join(small_side(placed, NAMED >> 3), "node")  # with signatures, so fewer
     block = lambda over: F.pmod(F.xxhash64("node"), F.col(over))
     each = lambda over: F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1))
     minor = F.col("own") != F.col("main")
-    columns = [F.xxhash64("cluster", "i", "j").alias("g"), "side", minor.alias("minor"), "node", "own", "signature", "shingles"]
+    columns = [F.xxhash64("cluster", "i", "j").alias("g"), "side", minor.alias("minor"), "node", "own", "signature", "text"]
     every = placed.withColumn("side", F.lit(0)).withColumn("i", block("rows")).withColumn("j", each("columns")).select(*columns)
     other = placed.where(minor).withColumn("side", F.lit(1)).withColumn("j", block("columns")).withColumn("i", each("rows")).select(*columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, side, minor, node, own, signature, shingles in sorted_runs(batches):
+        for _, side, minor, node, own, signature, text in sorted_runs(batches):
             signs = np.frombuffer(b"".join(signature), ">u2").reshape(len(node), BANDS, ROWS)
-            sets = [np.frombuffer(x, "<u8") for x in shingles]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
+            sets = shingle_sets(pa.array(text, pa.string()), k)[0]
             sizes = np.array([len(x) for x in sets])
             names, place = np.unique(np.concatenate(sets), return_inverse=True)
             ends = np.cumsum(sizes)
@@ -240,12 +244,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda band: F.xxhash64(band, F.substring("signature", band * width + 1, F.lit(width))))).alias("key"))
     order = lambda seed: F.min_by("node", F.xxhash64("node", F.lit(seed)))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("p0"), order(1).alias("p1"), order(2).alias("p2"),
-                                      F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(buckets, "key").select("key", "node", "p0", "p1", "p2"), "members")
+    bucket = Window.partitionBy("key")
+    members = keys.repartition("key").select("key", "node", F.min("node").over(bucket).alias("p0"), order(1).over(bucket).alias("p1"),
+                          order(2).over(bucket).alias("p2"), F.count("*").over(bucket).alias("n"))
+    members = written(members.where("n > 1").drop("n"), "members")
+    shared = written(members.select("node").distinct().coalesce(TASKS), "shared")
+    few = small_side(shared)
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    texts = written(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
-    confirm = lambda pairs: _confirmed(pairs, nodes, texts, k, percent, miss)
+    texts = written(texts.join(few, "node", "left_semi"), "texts")
+    sides = written(nodes.select("node", "signature").join(few, "node", "left_semi"), "sides")
+    confirm = lambda pairs: _confirmed(pairs, sides, texts, k, percent, miss)
 
     first = written(members.where("node <> p0").groupBy("node").agg(F.min("p0").alias("b"))
                     .select(F.col("node").alias("a"), "b"), "pairs")
@@ -259,7 +267,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
                      .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.union(confirm(second))
     found = components(links)
-    rest = _rest_of_buckets(members, nodes, texts, found, k, percent, miss).join(first.union(second), ["a", "b"], "left_anti")
+    rest = _rest_of_buckets(members, sides, texts, found, k, percent, miss).join(first.union(second), ["a", "b"], "left_anti")
     placed = written(signed.drop("signature").join(nodes.select("mark1", "mark2", "node"), ["mark1", "mark2"], "left"), "placed")
     several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most")
     same = placed.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")  # texts of one doc_id

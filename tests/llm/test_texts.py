@@ -87,6 +87,33 @@ def test_near_duplicates_equal_all_pairs(spark, documents):
     assert neardup.near_duplicates(documents([])).collect() == []
 
 
+@pytest.mark.parametrize("most", [neardup.NAMED, 0])
+def test_near_duplicates_move_few_texts(spark, documents, monkeypatch, most):
+    """Texts are looked up by ids that go to all tasks; keys of buckets move once. Beyond NAMED ids nothing changes but the joins."""
+    base = prose(11, 90)
+    rows = [(i, " ".join(changed(base, i, 60 + i))) for i in range(6)] + [(100 + i, " ".join(prose(70 + i, 60))) for i in range(12)]
+    plans, held = {}, neardup.written
+
+    def kept(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return held(df, name)
+
+    monkeypatch.setattr(neardup, "written", kept)
+    monkeypatch.setattr(neardup.small_side, "__defaults__", (most,))
+    monkeypatch.setattr(neardup, "NAMED", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(rows), k=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == plain_components(rows, 4, 80)
+    assert plans["members"].count("Exchange hashpartitioning") == 1
+    if most:
+        assert "SortMergeJoin" not in plans["texts"] and "hashpartitioning" not in plans["texts"].replace("BroadcastExchange", "")
+        assert plans["links"].count("SortMergeJoin") == 1
+
+
 def test_posterior_bound():
     for n in (16, 32, 96):
         bound = neardup.least_matches(n, 80, 1e-6)
