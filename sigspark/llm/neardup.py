@@ -154,44 +154,110 @@ def _confirmed(pairs: DataFrame, sides: DataFrame, texts: DataFrame, k: int, per
     return written(full.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
+def _sized(rows: DataFrame, by: str) -> DataFrame:
+    """The rows (by, node, own) of groups with several components `own`: their largest one, and the numbers of blocks."""
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_NODES), F.lit(1)).cast("long")
+    sizes = (rows.groupBy(by, "own").agg(F.count("*").alias("n")).groupBy(by)
+             .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("own", F.struct("n", "own")).alias("main")))
+    plan = sizes.where("n > most").select(by, "main", blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("most")).alias("columns"))
+    return rows.join(plan, by)
+
+
+def _blocked(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """Rows (g, side, minor, *columns): two nodes of a group, one of them outside of its largest component, share a g.
+
+    Of such a g, rows of side 0 meet those of side 1, which are minor, and rows of side 2 meet each other.
+    """
+    block = lambda over: F.pmod(F.xxhash64("node"), F.col(over))
+    each = lambda over: F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1))
+    minor, single = F.col("own") != F.col("main"), (F.col("rows") == 1) & (F.col("columns") == 1)
+    chosen = [F.xxhash64(by, "i", "j").alias("g"), "side", minor.alias("minor"), *columns]
+    every = rows.withColumn("side", F.when(single, 2).otherwise(0)).withColumn("i", block("rows")).withColumn("j", each("columns")).select(*chosen)
+    other = rows.where(minor & ~single).withColumn("side", F.lit(1)).withColumn("j", block("columns")).withColumn("i", each("rows")).select(*chosen)
+    return every.union(other)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one that pairs (a, b) reach."""
+    label = np.arange(n)
+    while True:
+        least, low = label.copy(), np.minimum(label[a], label[b])
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        least = least[least]
+        if np.array_equal(least, label):
+            return label
+        label = least
+
+
+def _alive_edges(held: DataFrame, sides: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(a, b) edges that connect what pairs of different components connect that share a bucket and outlive the screening.
+
+    held: (key, node, own). Only signatures go to the buckets. A task hands on a forest of what it has found, not pairs.
+    """
+    placed = written(_sized(held, "key"), "mixed")
+    rows = _blocked(placed, "key", "node", "own").join(small_side(sides, NAMED >> 3), "node").select("g", "side", "minor", "node", "own", "size", "signature")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        waiting = 0
+
+        def found() -> pa.RecordBatch:
+            node, signs, one, two = (np.concatenate(c) for c in zip(*held, strict=True))
+            starts = np.repeat(np.cumsum([0, *(len(x[0]) for x in held[:-1])]), [len(x[2]) for x in held])
+            one, two = one + starts, two + starts
+            alive = np.zeros(len(one), bool)
+            for begin in range(0, len(one), BLOCK):
+                part = slice(begin, begin + BLOCK)
+                alive[part] = screened(signs[one[part]], signs[two[part]], percent, miss)
+            root = _forest(one[alive], two[alive], len(node))
+            child = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], ["a", "b"])
+
+        for _, side, minor, node, own, size, signature in sorted_runs(batches):
+            right = np.flatnonzero(minor.astype(bool) & (side != 0))
+            signs = np.frombuffer(b"".join(signature), ">u2").reshape(len(node), -1)
+            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in np.flatnonzero(side != 1).tolist():
+                maybe = (own[right] != own[i]) & (not minor[i] or node[right] > node[i])
+                maybe &= 100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])
+                at = right[maybe]
+                one.append(np.full(len(at), i))
+                two.append(at)
+            held.append((node, signs, np.concatenate(one), np.concatenate(two)))
+            waiting += len(held[-1][2]) + len(node)
+            if waiting >= 1 << 17:
+                yield found()
+                held, waiting = [], 0
+        if held:
+            yield found()
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(edges, "a long, b long").where("a <> b").distinct()
+
+
 def _rest_of_buckets(members: DataFrame, sides: DataFrame, texts: DataFrame, found: DataFrame, k: int, percent: int,
                      miss: float) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and are similar enough.
 
-    Nodes that buckets of several components connect are a cluster. In a cluster, the nodes outside of its largest
-    component meet all nodes. Both are cut into blocks of BLOCK_NODES, and inside a task signatures and then full sets
-    are compared, so pairs become rows only where they are links. A node goes along with its text once for each block
-    that it meets, not once for each bucket. The sets are those by which links are confirmed, so of the links of a node
-    to one component any is as good as all.
+    In a bucket, the signatures of nodes outside of its largest component meet those of all nodes. Nodes that pairs
+    connect that outlive this are a cluster; in a cluster, the full sets of the nodes outside of its largest component
+    meet all. Buckets and clusters are cut into blocks of BLOCK_NODES and compared inside a task, so pairs become rows
+    only where they are links. A text goes along once for each block that it meets, and not at all if no other one comes
+    near it, so chance meetings in buckets, which connect ever more nodes of a larger table, move no texts. The sets are
+    those by which links are confirmed, so of the links of a node to one component any is as good as all.
     """
     held = (members.select("key", "node").join(found, "node", "left")
-            .select("key", "node", F.coalesce("component", "node").alias("component")))
-    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                    F.min("node").alias("b")).where("low <> high").select("key", "b")
-    edges = held.join(mixed, "key").select(F.col("node").alias("a"), "b", "component").distinct()
-    edges = written(edges.coalesce(TASKS), "mixed")
-    clusters = components(edges.select("a", "b"))
-    own = edges.select(F.col("a").alias("node"), "component").distinct().join(clusters, "node", "left").select(
-        "node", edges["component"].alias("own"), F.coalesce(clusters["component"], F.col("node")).alias("cluster"))
-    own = written(own.coalesce(TASKS), "clusters")
-    sizes = (own.groupBy("cluster", "own").agg(F.count("*").alias("n")).groupBy("cluster")
-             .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("own", F.struct("n", "own")).alias("main")))
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_NODES), F.lit(1)).cast("long")
-    plan = sizes.where("n > most").select("cluster", "main", blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("most")).alias("columns"))
-
-    placed = written(own.join(plan, "cluster").join(sides, "node").coalesce(TASKS), "placed")
+            .select("key", "node", F.coalesce("component", "node").alias("own")))
+    clusters = components(_alive_edges(held, sides, percent, miss), "clusters")
+    own = clusters.join(found.withColumnRenamed("component", "own"), "node", "left").select(
+        F.col("component").alias("cluster"), "node", F.coalesce("own", "node").alias("own"))
+    placed = written(_sized(own, "cluster").join(sides.select("node", "signature"), "node").coalesce(TASKS), "placed")
     placed = texts.join(small_side(placed, NAMED >> 3), "node")  # with signatures, so fewer
-    block = lambda over: F.pmod(F.xxhash64("node"), F.col(over))
-    each = lambda over: F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1))
-    minor = F.col("own") != F.col("main")
-    columns = [F.xxhash64("cluster", "i", "j").alias("g"), "side", minor.alias("minor"), "node", "own", "signature", "text"]
-    every = placed.withColumn("side", F.lit(0)).withColumn("i", block("rows")).withColumn("j", each("columns")).select(*columns)
-    other = placed.where(minor).withColumn("side", F.lit(1)).withColumn("j", block("columns")).withColumn("i", each("rows")).select(*columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, side, minor, node, own, signature, text in sorted_runs(batches):
             signs = np.frombuffer(b"".join(signature), ">u2").reshape(len(node), BANDS, ROWS)
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(minor.astype(bool) & (side != 0))
             if not len(left) or not len(right):
                 continue
             sets = shingle_sets(pa.array(text, pa.string()), k)[0]
@@ -222,7 +288,7 @@ def _rest_of_buckets(members: DataFrame, sides: DataFrame, texts: DataFrame, fou
             if one:
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["a", "b"])
 
-    groups = every.union(other).repartition("g").sortWithinPartitions("g")
+    groups = _blocked(placed, "cluster", "node", "own", "signature", "text").repartition("g").sortWithinPartitions("g")
     return groups.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -238,7 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     """
     signed = written(signatures(docs, k, doc_id, text), "signatures")
     nodes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("mark1", "mark2")
-                    .agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")), "nodes")
+                    .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), F.any_value("signature").alias("signature")), "nodes")
     width = 2 * ROWS
     keys = nodes.select("node", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -252,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     few = small_side(shared)
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = written(texts.join(few, "node", "left_semi"), "texts")
-    sides = written(nodes.select("node", "signature").join(few, "node", "left_semi"), "sides")
+    sides = written(nodes.select("node", "size", "signature").join(few, "node", "left_semi"), "sides")
     confirm = lambda pairs: _confirmed(pairs, sides, texts, k, percent, miss)
 
     first = written(members.where("node <> p0").groupBy("node").agg(F.min("p0").alias("b"))

@@ -114,6 +114,20 @@ def test_near_duplicates_move_few_texts(spark, documents, monkeypatch, most):
         assert plans["links"].count("SortMergeJoin") == 1
 
 
+@pytest.mark.parametrize("nodes", [1024, 3])
+def test_chance_meetings_in_buckets_join_no_cluster(spark, monkeypatch, nodes):
+    """Only nodes whose whole signatures are near each other come out, however the bucket is cut into blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", nodes)
+    rng = np.random.default_rng(5)
+    signs = rng.integers(0, 1 << 16, (20, neardup.BANDS * neardup.ROWS)).astype(">u2")
+    signs[:, :neardup.ROWS] = 7                                                         # one band is common to all
+    signs[11], signs[17], signs[5] = signs[3], signs[3], signs[4]
+    sides = spark.createDataFrame([(i, 50 if i != 5 else 9, x.tobytes()) for i, x in enumerate(signs)], "node long, size long, signature binary")
+    held = spark.createDataFrame([(1, i, 0 if i < 3 else i) for i in range(20)] + [(2, 0, 0), (2, 8, 8)], "key long, node long, own long")
+    edges = neardup._alive_edges(held, sides, 80, neardup.MISS)
+    assert {r.node: r.component for r in neardup.components(edges).collect()} == {3: 3, 11: 3, 17: 3}
+
+
 def test_posterior_bound():
     for n in (16, 32, 96):
         bound = neardup.least_matches(n, 80, 1e-6)
