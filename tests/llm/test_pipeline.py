@@ -21,3 +21,17 @@ def test_stages(spark, empty):
         assert docs.select("doc_id").distinct().join(before.select("doc_id"), "doc_id", "left_anti").where("doc_id is not null").count() == 0
     ids = written(corpus_pipeline.STAGES[-1][1](spark, docs, DATA), "stage")
     assert ids.count() == docs.count() and (empty or docs.count() > 20)
+
+
+def test_near_dedup_moves_no_texts(spark):
+    """What is dropped goes to the tasks of the documents, which stay where they are."""
+    docs = written(table(spark, DATA, "documents").selectExpr("doc_id", "text", "lang", "source", "n_chars"), "stage")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.near_dedup(spark, docs, DATA)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        assert 0 < left.count() < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
