@@ -32,7 +32,9 @@ BITS, PROBES = 12, 8
 #: Largest filter that is broadcast; words that can be frequent enough to be broadcast with their counts.
 FILTER_BYTES, HOT = 128 << 20, 1 << 18
 #: Bytes of text for each segment of the counts, for each block of documents, and of one step.
-SEGMENT_BYTES, BLOCK_BYTES, STEP_BYTES = 16 << 20, 16 << 20, 4 << 20
+SEGMENT_BYTES, BLOCK_BYTES, STEP_BYTES = 16 << 20, 8 << 20, 4 << 20
+#: Keys that are looked up at a time where they lie.
+ASKED = 1 << 17
 #: Stand for the end of a text, and for what precedes it.
 LAST, BEFORE = np.uint64(0x1D3A5C7E9B2F4681), np.uint64(0x6F0E2D4C8B1A3957)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -85,11 +87,11 @@ def grams(values: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]
     return out
 
 
-def _places(keys: np.ndarray, at: int, bits: np.ndarray) -> Iterator[np.ndarray]:
-    """The PROBES places of each key with level `at` in a segment of so many bits."""
+def _places(keys: np.ndarray, at: int, bits: np.ndarray, some: slice = slice(0, PROBES)) -> Iterator[np.ndarray]:
+    """The PROBES places of each key with level `at` in a segment of so many bits, or some of them."""
     one = words.mix(keys + np.uint64(at * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
     step = words.mix(one) | np.uint64(1)
-    for i in range(PROBES):
+    for i in range(PROBES)[some]:
         yield ((one + np.uint64(i) * step) % bits).astype(np.int64)
 
 
@@ -117,11 +119,12 @@ class Filter(NamedTuple):
         out, left, at = np.zeros(len(keys), np.int64), np.flatnonzero(self.bits[own] > 0), 0
         while len(left):
             at += 1
-            key, bits, first = keys[left], self.bits[own[left]], self.first[own[left]]
-            hit = np.ones(len(left), bool)
-            for place in _places(key, at, bits):
-                hit &= (self.data[first + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-            left = left[hit]
+            for some in (slice(0, 2), slice(2, PROBES)):  # most of those that miss do so at once
+                bits, first = self.bits[own[left]], self.first[own[left]]
+                hit = np.ones(len(left), bool)
+                for place in _places(keys[left], at, bits, some):
+                    hit &= (self.data[first + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+                left = left[hit]
             out[left] = at
         return out
 
@@ -161,6 +164,33 @@ def _share(keys: np.ndarray, shift: int) -> np.ndarray:
 
 
 _SHARE_ROWS = "share long, kind int, n long, data binary"
+#: What answers hold: counts of words, levels of n-grams.
+_VALUES = {ASKED_WORDS: np.dtype(np.int64), ASKED_GRAMS: np.dtype(np.uint8)}
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of lists of distinct keys, in order."""
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The stretches of equal values of the first column."""
+    first = batch.column(0).to_numpy()
+    cuts = (np.flatnonzero(first[1:] != first[:-1]) + 1).tolist()
+    for begin, end in zip([0, *cuts], [*cuts, len(first)], strict=True):
+        if end > begin:
+            yield int(first[begin]), batch.slice(begin, end - begin)
+
+
+def _pressed(values: np.ndarray, kind: np.dtype) -> bytes:
+    """The bytes of values by significance, compressed."""
+    planes = values.astype(kind).view(np.uint8).reshape(len(values), -1)
+    return pa.Codec("zstd", compression_level=1).compress(planes.T.tobytes(), asbytes=True)
+
+
+def _plain(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data, n * kind.itemsize, asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES, bits: int = BITS) -> Model:
@@ -257,26 +287,51 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)).alias("block"), "*")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                key = _distinct(parts)
+                if len(key):
+                    part = _kind(packed(_share(key, shift), [key.view(np.int64)]), kind)
+                    yield part.append_column("block", pa.array(np.full(part.num_rows, at)))
+
+        at, held = None, {}
         for batch in batches:
-            for some in _steps(batch, 1):
-                values, begin = tokens(some.column(1))
-                block = np.repeat(some.column(0).to_numpy(), np.diff(begin))
-                rare = _found(values, *hot.value) < 0
-                asked = [(ASKED_WORDS, values[rare], block[rare])]
-                if filter_on is None:
-                    asked += [(ASKED_GRAMS, key, block) for key in grams(values, begin, order)]
-                for kind, key, of in asked:
-                    order_ = np.lexsort((of, key))
-                    key, of = key[order_], of[order_]
-                    fresh = np.ones(len(key), bool)
-                    fresh[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-                    if len(key):
-                        yield _kind(packed(_share(key[fresh], shift), [key[fresh].view(np.int64), of[fresh]]), kind)
+            for block, some in _runs(batch):
+                if block != at:
+                    yield from close()
+                    at, held = block, {}
+                for step in _steps(some, 1):
+                    values, begin = tokens(step.column(1))
+                    key = np.unique(values)
+                    asked = [(ASKED_WORDS, key[_found(key, *hot.value) < 0])]
+                    if filter_on is None:
+                        asked += [(ASKED_GRAMS, np.unique(key)) for key in grams(values, begin, order)]
+                    for kind, key in asked:
+                        parts = held.setdefault(kind, [])
+                        parts.append(key)
+                        if sum(map(len, parts)) > 2 * max(len(parts[0]), 1 << 20):
+                            parts[:] = [_distinct(parts)]
+        yield from close()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, one = None, (), None
+        def given() -> Iterator[pa.RecordBatch]:
+            for kind in (ASKED_WORDS, ASKED_GRAMS):
+                blocks, keys = [x[1] for x in held if x[0] == kind], [x[2] for x in held if x[0] == kind]
+                if not keys:
+                    continue
+                key = np.concatenate(keys)
+                value = np.maximum(_found(key, *known), 0) if kind == ASKED_WORDS else one.levels(key) if one else np.zeros(len(key), np.int64)
+                parts = np.split(value, np.cumsum([len(x) for x in keys])[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(blocks, pa.int64()), pa.array(np.full(len(keys), at)), pa.array(np.full(len(keys), kind, np.int32)), pa.array([len(x) for x in keys], pa.int64()),
+                     pa.array([_pressed(x, _VALUES[kind]) for x in parts], pa.binary())], ["block", "share", "kind", "n", "data"])
+
+        at, known, one, held, waiting = None, (), None, [], 0
         for batch in batches:
-            for share, kind, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for share, kind, n, data, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if share != at or waiting >= ASKED:
+                    yield from given()
+                    held, waiting = [], 0
                 if share != at:
                     at, known, one = share, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), None
                 if kind == WORDS:
@@ -285,58 +340,75 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                 elif kind == SEGMENT:
                     one = Filter(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([n * 8], np.uint64), 64)
                 else:
-                    key, block = unpacked(n, data, (np.int64, np.int64))
-                    key = key.view(np.uint64)
-                    value = _found(key, *known) if kind == ASKED_WORDS else one.levels(key) if one else np.zeros(n, np.int64)
-                    held = value > 0
-                    if held.any():
-                        yield packed(block[held], [key[held].view(np.int64), value[held]])
-
-    asked = rows.select("block", "text").mapInArrow(ask, _SHARE_ROWS)
+                    held.append((kind, block, unpacked(n, data, (np.int64,))[0].view(np.uint64)))
+                    waiting += n
+        yield from given()
+
+    # equal keys, in the same order, are found again in a block where it is scored, so answers hold values alone
+    asked = rows.select("block", "text").repartition("block").sortWithinPartitions("block").mapInArrow(ask, _SHARE_ROWS + ", block long")
     tables = model.table if filter_on is None else model.table.where(F.col("kind") == WORDS)
-    answers = tables.union(asked).repartition("share").sortWithinPartitions("share", "kind").mapInArrow(answer, "block long, n long, data binary")
-    answers = written(answers, "answers")
+    answers = tables.withColumn("block", F.lit(None).cast("long")).union(asked).repartition("share").sortWithinPartitions("share", "kind")
+    answers = written(answers.mapInArrow(answer, "block long, share long, kind int, n long, data binary"), "answers")
     fields = [rows.schema[name] for name in ("doc_id", *keep)]
-    both = rows.select("block", F.lit(0).cast("long").alias("n"), F.col("text").cast("binary").alias("data"), *(f.name for f in fields)).unionByName(
-        answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("n").desc())
+    none = [F.lit(0).cast(kind).alias(name) for name, kind in (("share", "long"), ("kind", "int"), ("n", "long"))]
+    both = rows.select("block", *none, F.col("text").cast("binary").alias("data"), *(f.name for f in fields)).unionByName(
+        answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
     names = [f.name for f in fields]
     kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_tokens long", "n_known long", "base_score double", "score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, known = None, [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            texts = pa.chunked_array([part.column(4).dictionary_encode() for part in held]).unify_dictionaries()  # repeated rows share a block
+            found = measures(texts.chunk(0).dictionary.cast(pa.string()), given)
+            for part, of in zip(held, texts.chunks, strict=True):
+                of = of.indices.to_numpy()
+                yield pa.RecordBatch.from_arrays([*part.columns[5:], *(pa.array(c[of]) for c in found)], [*names, "n_tokens", "n_known", "base_score", "score"])
+
+        at, held, given = None, [], []
         for batch in batches:
-            blocks, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = (np.flatnonzero((np.diff(blocks) != 0) | ((n[1:] == 0) != (n[:-1] == 0))) + 1).tolist() if len(n) else []
-            for begin, end in zip([0, *cuts], [*cuts, len(n)], strict=True):
-                if begin == end:
-                    continue
-                if blocks[begin] != at:
-                    at, parts, known = blocks[begin], [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                some = batch.slice(begin, end - begin)
-                if n[begin]:
-                    parts += [unpacked(k, data, (np.int64, np.int64)) for k, data in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
-                    continue
-                if parts:
-                    key, value = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    key, first = np.unique(key.view(np.uint64), return_index=True)
-                    parts, known = [], (key, value[first])
-                for step in _steps(some, 2):
-                    yield pa.RecordBatch.from_arrays([*step.columns[3:], *(pa.array(c) for c in measures(step.column(2).cast(pa.string()), known))],
-                                                     [*names, "n_tokens", "n_known", "base_score", "score"])
-
-    def measures(column: pa.Array, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+            for block, some in _runs(batch):
+                if block != at:
+                    yield from close()
+                    at, held, given = block, [], []
+                is_text = pc.equal(some.column(3), 0)
+                part = some.filter(is_text)
+                if part.num_rows:
+                    held.append(part)
+                given += zip(*(c.to_pylist() for c in some.filter(pc.invert(is_text)).columns[1:5]), strict=True)
+        yield from close()
+
+    def answered(given: list[tuple], kind: int, n: int) -> np.ndarray:
+        parts = [_plain(data, size, _VALUES[kind]) for _, of, size, data in sorted(given, key=lambda x: x[0]) if of == kind]
+        out = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        if len(out) != n:
+            raise ValueError(f"{len(out)} answers to {n} keys of a block")
+        return out
+
+    def measures(column: pa.Array, given: list[tuple]) -> tuple[np.ndarray, ...]:
         values, begin = tokens(column)
         key, inverse = np.unique(values, return_inverse=True)
-        frequent = _found(key, *hot.value)
-        count = np.maximum(np.where(frequent >= 0, frequent, _found(key, *known)), 0)[inverse.ravel()].astype(np.float64)
+        count = _found(key, *hot.value)
+        rare = np.flatnonzero(count < 0)
+        count[rare] = answered(given, ASKED_WORDS, len(rare))
+        count = count[inverse.ravel()].astype(np.float64)
         single = (count + 1) / (total + distinct + 1)
         p, history = single, np.full(len(values), float(texts))
         inner = np.ones(len(values), bool)
         inner[begin[:-1]] = False
         history[inner] = count[np.flatnonzero(inner) - 1]
-        for keys in grams(values, begin, order):
+        longer = grams(values, begin, order)
+        if filter_on is None and longer:
+            every = _distinct([np.unique(keys) for keys in longer])
+            every_level = answered(given, ASKED_GRAMS, len(every))
+        for keys in longer:
             key, inverse = np.unique(keys, return_inverse=True)
-            levels = (filter_on.value.levels(key) if filter_on is not None else np.maximum(_found(key, *known), 0))[inverse.ravel()]
+            if filter_on is not None:
+                levels = filter_on.value.levels(key)
+            else:
+                levels = every_level if len(longer) == 1 else every_level[np.searchsorted(every, key)]
+            levels = levels[inverse.ravel()]
             p = (np.minimum(low(levels), history) + MU * p) / (history + MU)
             history = np.full(len(values), float(texts))
             history[inner] = high(levels)[np.flatnonzero(inner) - 1]

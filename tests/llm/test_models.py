@@ -219,6 +219,23 @@ def plain_clusters(vectors, k, rounds):
     return sorted((str(i), near(v)[1], near(v)[0]) for i, v in kept), centres
 
 
+def test_answers_of_a_block_come_once(spark, documents, monkeypatch):
+    """A share answers a block in one row, with values alone, over however many tasks the texts of the block lay."""
+    tables, held = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.setdefault(name, held(df, name)))
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 12)
+    texts = [" ".join(f"w{(i * j) % 97} x{j % 5}" for j in range(40 + i % 7)) for i in range(120)]
+    docs = documents([*enumerate(texts), *enumerate(texts[:9]), (None, texts[3]), (None, texts[3]), (None, None)])
+    model = lm.fit(docs, filter_bytes=0)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.scored(docs, model).collect())
+    answers = tables["answers"]
+    assert answers.select("block").distinct().count() > 3
+    assert answers.count() == answers.select("block", "share", "kind").distinct().count()
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 24)
+    monkeypatch.setattr(lm, "written", held)
+    assert len(got) == 132 and got == sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.scored(docs, lm.fit(docs)).collect())
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.integers(0, 10_000), st.integers(1, 20), st.integers(1, 9), st.sampled_from([2, 300, 10 ** 7]))
 def test_nearest_centre_equals_all(seed, k, d, size):
