@@ -74,7 +74,11 @@ def moves(place: np.ndarray, probes: int) -> np.ndarray:
         if last + 1 < len(costs):
             for after in ((*chosen[:-1], last + 1), (*chosen, last + 1)):
                 heapq.heappush(heap, (total(after), after))
-    return out[:found]
+    out = out[:found]
+    spent = np.zeros(found)
+    for i in range(k):  # in the order of the axes, which moves of equal cost may round in their own ways
+        spent += np.where(out[:, i] < 0, cost[i], np.where(out[:, i] > 0, cost[k + i], 0.0))
+    return out[np.argsort(spent, kind="stable")]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
