@@ -32,7 +32,7 @@ BITS, PROBES = 12, 8
 #: Largest filter that is broadcast; words that can be frequent enough to be broadcast with their counts.
 FILTER_BYTES, HOT = 128 << 20, 1 << 18
 #: Bytes of text for each segment of the counts, for each block of documents, and of one step.
-SEGMENT_BYTES, BLOCK_BYTES, STEP_BYTES = 16 << 20, 8 << 20, 4 << 20
+SEGMENT_BYTES, BLOCK_BYTES, STEP_BYTES = 16 << 20, 4 << 20, 4 << 20
 #: Keys that are looked up at a time where they lie.
 ASKED = 1 << 17
 #: Stand for the end of a text, and for what precedes it.
@@ -284,7 +284,8 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     total, distinct, texts = model.total, model.distinct, model.texts
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, _text(docs, text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)).alias("block"), "*")
+    block_bytes = BLOCK_BYTES if filter_on is None else BLOCK_BYTES // 2  # beside a filter, with few keys to ask for
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // block_bytes + 1)).alias("block"), "*")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
@@ -360,11 +361,11 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         def close() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            texts = pa.chunked_array([part.column(4).dictionary_encode() for part in held]).unify_dictionaries()  # repeated rows share a block
+            texts = pa.chunked_array([text for text, _ in held]).unify_dictionaries()  # repeated rows share a block
             found = measures(texts.chunk(0).dictionary.cast(pa.string()), given)
-            for part, of in zip(held, texts.chunks, strict=True):
+            for (_, columns), of in zip(held, texts.chunks, strict=True):
                 of = of.indices.to_numpy()
-                yield pa.RecordBatch.from_arrays([*part.columns[5:], *(pa.array(c[of]) for c in found)], [*names, "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c[of]) for c in found)], [*names, "n_tokens", "n_known", "base_score", "score"])
 
         at, held, given = None, [], []
         for batch in batches:
@@ -375,7 +376,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                 is_text = pc.equal(some.column(3), 0)
                 part = some.filter(is_text)
                 if part.num_rows:
-                    held.append(part)
+                    held.append((part.column(4).dictionary_encode(), part.columns[5:]))
                 given += zip(*(c.to_pylist() for c in some.filter(pc.invert(is_text)).columns[1:5]), strict=True)
         yield from close()
 
@@ -394,11 +395,12 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         count[rare] = answered(given, ASKED_WORDS, len(rare))
         count = count[inverse.ravel()].astype(np.float64)
         single = (count + 1) / (total + distinct + 1)
-        p, history = single, np.full(len(values), float(texts))
-        inner = np.ones(len(values), bool)
+        p, history = single, np.full(len(count), float(texts))
+        inner = np.ones(len(count), bool)
         inner[begin[:-1]] = False
         history[inner] = count[np.flatnonzero(inner) - 1]
         longer = grams(values, begin, order)
+        del key, inverse, values
         if filter_on is None and longer:
             every = _distinct([np.unique(keys) for keys in longer])
             every_level = answered(given, ASKED_GRAMS, len(every))
@@ -410,7 +412,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                 levels = every_level if len(longer) == 1 else every_level[np.searchsorted(every, key)]
             levels = levels[inverse.ravel()]
             p = (np.minimum(low(levels), history) + MU * p) / (history + MU)
-            history = np.full(len(values), float(texts))
+            history = np.full(len(count), float(texts))
             history[inner] = high(levels)[np.flatnonzero(inner) - 1]
         sums = lambda x: np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.zeros(0, x.dtype)
         return np.diff(begin).astype(np.int64), sums((count > 0).astype(np.int64)), sums(np.log10(single)), sums(np.log10(p))
